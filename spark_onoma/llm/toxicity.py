@@ -18,7 +18,7 @@ MAX_LABELLED = 20_000
 MAX_VOTERS = 2_000
 #: Code points of word beginnings that are candidate voters beside whole words.
 STEMS = (4, 5, 6)
-MIN_POSITIVE, MIN_PRECISION = 4, 0.6
+MIN_POSITIVE, MIN_PRECISION = 3, 0.6
 # Pattern voters: hashes that stand for them.
 SHOUTING, EXCLAIMING = U64(1), U64(2)
 
@@ -84,24 +84,25 @@ def correlation_shares(row: np.ndarray, voter: np.ndarray, count: int, n_rows: i
 def label_model(row: np.ndarray, voter: np.ndarray, count: int, label: np.ndarray, steps: int = 5) -> np.ndarray:
     """Posterior of toxicity of each row from the voters' votes.
 
-    Each voter fires with one probability on toxic and another on other rows; correlated voters share their evidence.
-    The probabilities start from the labels and are re-estimated from the posteriors, in which a row's label is one
-    more voter.
+    Each voter fires with one probability on toxic and another on other rows, or abstains, which tells nothing; one
+    more voter fires where all abstain. Correlated voters share their evidence. The probabilities start from the
+    labels and are re-estimated from the posteriors, in which a row's label is one more voter.
     """
-    n, share = len(label), correlation_shares(row, voter, count, len(label))
+    n = len(label)
+    silent = np.flatnonzero(np.bincount(row, minlength=n) == 0)
+    row, voter = np.concatenate([row, silent]), np.concatenate([voter, np.full(len(silent), count)])
+    share = correlation_shares(row, voter, count + 1, n)
     post = np.clip(label.astype(float), 0.02, 0.98)
     for _ in range(steps):
         mass, rest = post.sum(), (1 - post).sum()
-        hit = (np.bincount(voter, weights=post[row], minlength=count) + 0.5) / (mass + 1)
-        miss = (np.bincount(voter, weights=1 - post[row], minlength=count) + 0.5) / (rest + 1)
-        odds = np.log(hit / miss) - np.log((1 - hit) / (1 - miss))
-        none = (share * np.log((1 - hit) / (1 - miss))).sum()
-        z = np.log((mass + 1) / (rest + 1)) + none + np.bincount(row, weights=(share * odds)[voter], minlength=n) + np.where(label > 0, 3.0, -3.0)
+        hit = (np.bincount(voter, weights=post[row], minlength=count + 1) + 0.5) / (mass + 1)
+        miss = (np.bincount(voter, weights=1 - post[row], minlength=count + 1) + 0.5) / (rest + 1)
+        z = np.log((mass + 1) / (rest + 1)) + np.bincount(row, weights=(share * np.log(hit / miss))[voter], minlength=n) + np.where(label > 0, 3.0, -3.0)
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return post
 
 
-def linear(row: np.ndarray, voter: np.ndarray, count: int, target: np.ndarray, label: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def linear(row: np.ndarray, voter: np.ndarray, count: int, target: np.ndarray, label: np.ndarray, steps: int = 2000, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression of the posteriors on the fired voters, then Platt scaling on the labels."""
     n, weight, bias = len(target), np.zeros(count), 0.0
     scale, scale_bias = np.full(count, 1e-8), 1e-8
