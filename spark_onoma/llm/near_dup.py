@@ -19,6 +19,10 @@ SKETCH_LONGS = 8
 SLACK = 4.2
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Members up to which a bucket's open pairs are listed before they are confirmed; larger ones confirm as they join.
+LISTED = 16
+#: Bits (as a power of two) of the filter of ids whose sets are made: 2 MB.
+FILTER_BITS = 24
 _COLUMNS = 256
 
 
@@ -70,12 +74,24 @@ def signer(words: int, percent: int):
     return sign, "id long, n_shingles long, print1 long, print2 long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))
 
 
-def set_maker(words: int):
-    """A mapInArrow function: document id and text to the full set of shingle hashes."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids in 2**FILTER_BITS bits, whatever their number; when overfull it lets more rows through."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+    table = words.toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return out
+
+
+def set_maker(words: int, wanted):
+    """A mapInArrow function: document id, filter place and text to the full set of shingle hashes of wanted ids."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column(1)):
+            spot = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((wanted.value[spot >> 6] >> (spot & 63)) & 1 == 1))
+            for first, last, data, offsets in chunks(batch.column(2)):
                 sets = [x for _, x in shingle_sets(Words(data, offsets), words)]
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).cast(pa.int64()), list_array(flat.view(np.int64), np.array([len(x) for x in sets]), pa.int64())], names=["id", "items"])
@@ -83,6 +99,18 @@ def set_maker(words: int):
     return make, "id long, items array<long>"
 
 
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, items) of at least the given ids, from one pass over the texts that shuffles none."""
+    make, schema = set_maker(words, docs.sparkSession.sparkContext.broadcast(id_filter(ids)))
+    return docs.where("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("spot"), "text").mapInArrow(make, schema)
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Do two full sets reach the threshold?"""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+
+
 def _unlike(a: str, b: str) -> Column:
     """Differing bits of two sketches."""
     parts = [F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH_LONGS)]
@@ -96,11 +124,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scra
     """Pairs whose full sets reach the threshold."""
     pairs = scratch.save(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    make, schema = set_maker(words)
-    sets = scratch.save(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(make, schema))
+    sets = scratch.save(_sets(docs, ids, words))
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+    found = pairs.join(left, "a").join(right, "b").where(_alike("x", "y", percent)).select("a", "b").distinct()
     links = scratch.save(found)
     scratch.drop(pairs, sets)
     return links
@@ -112,8 +138,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``. Equal sets are one class, so copies
     cost no pair. Classes meet in MinHash bands; each band bucket is first compared with its most central member only,
     sketches of 3 bits a hash screen the pairs, full sets confirm them, and large-star/small-star gives the components.
-    Buckets that still hold several components then have their members compared across components, in blocks, so no
-    link is lost to a cap.
+    Buckets that still hold several components then have their members compared across components, each pair in the
+    first band it shares, in blocks that confirm pairs as they join, so no link is lost to a cap.
 
     Null or empty text has no shingle and links with nothing; texts shorter than ``words`` count as one shingle; rows
     with a null id are returned unlinked (null component, kept). Rows that share an id are one node. Other columns of
@@ -130,12 +156,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     heads = scratch.save(signed.where("n_shingles > 0").join(nodes, "id", "left_semi").drop("n_shingles", "print1", "print2").dropDuplicates(["id", "bands"]))
     scratch.drop(signed)
 
-    entries = heads.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    entries = heads.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "key").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = scratch.save(entries.join(sizes, "bucket"))
     rank = shared.groupBy("id").agg(F.sum("n").alias("rank"))
     centre = shared.join(rank, "id").groupBy("bucket").agg(F.max_by("id", F.col("rank") * 1024 + F.pmod(F.xxhash64("id"), F.lit(1024))).alias("centre"))
-    sketch = heads.select("id", *(f"s{k}" for k in range(SKETCH_LONGS)))
     sketches = heads.select("id", F.struct(*(f"s{k}" for k in range(SKETCH_LONGS))).alias("sketch"))
     limit = sketch_limit(percent)
 
@@ -144,15 +169,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = _confirmed(star, docs, words, percent, scratch)
     group = scratch.save(components(first, scratch))
 
-    placed = scratch.save(shared.join(group.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part")))
+    placed = scratch.save(shared.join(group.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("part")))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-    open_rows = placed.join(mixed, "bucket").join(sketch, "id")
+    open_rows = placed.join(mixed, "bucket").join(heads, "id")
+    same_bucket = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & (_unlike("x", "y") <= limit)
+    first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
+    few = open_rows.where(F.col("n") <= LISTED)
+    listed = few.alias("x").join(few.alias("y"), same_bucket & first_shared).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    second = _confirmed(listed, docs, words, percent, scratch)
+
+    many = scratch.save(open_rows.where(F.col("n") > LISTED))
+    sets = scratch.save(_sets(docs, many.select("id").distinct(), words))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
-    right = open_rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-    across = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & (_unlike("x", "y") <= limit))
-    second = _confirmed(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs, words, percent, scratch)
-    merged = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch)
+    many_sets = many.join(sets, "id")
+    left = many_sets.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
+    right = many_sets.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+    third = scratch.save(left.join(right, (F.col("x.block") == F.col("y.block")) & same_bucket & first_shared & _alike("x.items", "y.items", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    scratch.drop(many, sets)
+    merged = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(third), scratch)
 
     out = members.join(merged.withColumnRenamed("component", "root"), "node", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
