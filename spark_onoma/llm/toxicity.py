@@ -102,8 +102,8 @@ def label_model(row: np.ndarray, voter: np.ndarray, count: int, label: np.ndarra
     return post
 
 
-def linear(row: np.ndarray, voter: np.ndarray, count: int, target: np.ndarray, label: np.ndarray, steps: int = 2000, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression of the posteriors on the fired voters, then Platt scaling on the labels."""
+def linear(row: np.ndarray, voter: np.ndarray, count: int, target: np.ndarray, label: np.ndarray, steps: int = 1000, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression of the posteriors on the fired voters, none of which may lower a score; then Platt scaling on the labels."""
     n, weight, bias = len(target), np.zeros(count), 0.0
     scale, scale_bias = np.full(count, 1e-8), 1e-8
     for _ in range(steps):
@@ -112,15 +112,15 @@ def linear(row: np.ndarray, voter: np.ndarray, count: int, target: np.ndarray, l
         g = np.bincount(voter, weights=gap[row], minlength=count) + ridge * n * 0.01 * weight
         scale += g * g
         scale_bias += gap.sum() ** 2
-        weight -= 0.5 * g / np.sqrt(scale)
+        weight = np.maximum(0, weight - 0.5 * g / np.sqrt(scale))
         bias -= 0.5 * gap.sum() / np.sqrt(scale_bias)
     z = bias + np.bincount(row, weights=weight[voter], minlength=n)
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         w = np.maximum(p * (1 - p), 1e-6)
-        h = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, [((p - label) * z).sum() + (a - 1), (p - label).sum()])
+        h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(h, [((p - label) * z).sum() + 0.01 * (a - 1), (p - label).sum()])
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
     return weight * max(a, 0.1), bias * max(a, 0.1) + b
 
