@@ -1,0 +1,75 @@
+"""Name tables. Each is a default that callers can extend or replace through the options."""
+
+from __future__ import annotations
+
+# Titles, and those of them that are names too.
+TITLES = frozenset("mr mrs ms miss mx dr doctor prof professor rev reverend fr father sr sister br brother hon honorable honourable judge justice sir dame lord lady capt captain col colonel gen general lt lieutenant maj major sgt sergeant cmdr commander adm admiral pvt engr er adv advocate shri sri smt kum thiru sheikh shaikh syed sayyid hafiz imam maulana md mohd pandit pt swami herr frau monsieur mme madame mlle senor senora don dona sra".split())
+AMBIGUOUS_TITLES = frozenset("sri shri syed sayyid sheikh shaikh hafiz imam md mohd don major judge justice lord general er kum dame".split())
+# Suffixes, those that are names or initials too, and generational ones with their canonical form.
+SUFFIXES = frozenset("jr jnr junior sr snr senior ii iii iv vi vii phd md mba bsc msc ba ma mphil esq esquire cpa dds dmd dvm rn jd llb llm do od pe pmp obe mbe cbe kbe qc kc ret retd".split())
+AMBIGUOUS_SUFFIXES = frozenset("md ma ba do pe od rn jd kc ret sr".split())
+GENERATIONS = {"jr": "jr", "jnr": "jr", "junior": "jr", "sr": "sr", "snr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv", "v": "v", "vi": "vi", "vii": "vii"}
+# Family-name particles, and those that bind only to a word of three letters or more.
+PARTICLES = frozenset("van von der den de del della di da dos das do du la le les los las el al ul bin ibn bint ben bar bat abu abd mac mc o san santa santo st saint ter ten te zu zum zur af av ap ni nic ka oz y e und op vande vander vonder".split())
+WEAK_PARTICLES = frozenset("do la le el al ben bar ni te ka oz ap st san".split())
+
+# Common short forms by full name; a member of two groups links both only to itself.
+NICKNAMES = """
+robert bob rob bobby robbie|william will bill billy liam|richard rick dick rich|james jim jimmy jamie|john jack johnny|margaret peggy maggie meg greta
+elizabeth liz beth betty eliza lizzie|mary polly molly|ann nancy annie nan|nathan nate|nathaniel nate nat|katherine kate kathy katie kat|steven steve
+thomas tom tommy|michael mike mick mickey|charles charlie chuck|edward ed eddie ted ned|henry harry hank|joseph joe joey|daniel dan danny
+david dave davy|matthew matt|andrew andy drew|anthony tony|christopher chris kit|patrick pat paddy|patricia pat patty trish|samuel sam sammy
+benjamin ben benny|alexander alex sandy|timothy tim|gregory greg|jeffrey jeff|kenneth ken kenny|lawrence larry|leonard leo len lenny
+peter pete|philip phil|raymond ray|ronald ron ronnie|stephen steve|theodore ted theo|victoria vicky|susan sue susie|sarah sally sadie
+rebecca becky|jennifer jenny jen|jessica jess|deborah deb debbie|dorothy dot dolly|frances fran frankie|francis frank|barbara barb|catherine cathy kate
+"""
+VARIANTS = """
+john jon|steven stephen stefan|katherine catherine kathryn katharine|sara sarah|eric erik|philip phillip|jeffrey geoffrey
+ann anne|marc mark|carl karl|allan alan allen|lewis louis|lakshmi laxmi|suresh sureesh|krishna krsna|hussain hussein husain
+ahmed ahmad|ali aly|yousef yusuf youssef|mcdonald macdonald|obrien brien|schmidt schmitt|meyer meier maier mayer|vijay vijai|sharma sarma
+"""
+TRANSLATIONS = "john jean juan giovanni johann ivan|peter pierre pedro pietro petr|james jacques diego giacomo|michael michel miguel michele mikhail|paul paolo pablo pavel|mary marie maria"
+TRANSLITERATIONS = "geetha geeta|mohammad mohammed muhammad mohamed|sergei sergey serguei|aleksandr alexander|dmitry dmitri dimitri|yuri yury iouri|tchaikovsky chaikovsky|khaled khalid|rahman rehman|abdul abdel|qasim kassim"
+ROMANISATIONS = "zhang chang|li lee|wang wong|chen chan|zhao chao|xu hsu|huang hwang|liu lau"
+STRENGTH = {"nickname": 0.9, "variant": 0.97, "translation": 0.55, "transliteration": 0.96, "romanisation": 0.62, "custom": 0.92}
+
+# Written short forms, names that are never cut from longer ones, and look-alikes that are different names.
+CONTRACTIONS = {"wm": ("william",), "chas": ("charles",), "geo": ("george",), "jas": ("james",), "jos": ("joseph",), "thos": ("thomas",), "robt": ("robert",), "benj": ("benjamin",), "danl": ("daniel",), "saml": ("samuel",), "edw": ("edward",), "mohd": ("mohammad", "mohammed", "muhammad", "mohamed"), "md": ("mohammad", "mohammed", "muhammad", "mohamed"), "muhd": ("muhammad",), "alex": ("alexander",), "fredk": ("frederick",), "jno": ("john",), "richd": ("richard",)}
+STANDALONE = frozenset("raj ram sam ben dan tom tim max leo ana ann eva ian kim lee may roy ray jay joy amy guy hal ira ivy lou mia ned pat rob ron sue ted val vic will jack kate nate dave mike nick alex anil dev om sai uma ravi jan mark carl bill emma anna sara".split())
+DISTINCT_PAIRS = """
+michael michelle|wei li|zhang chang|john jean|jose josef|andrea andrew|amit ajit|raj rajesh|eric erica|daniel danielle|paul paula
+carol carl|brian ryan|erin eric|maria mario|julia julian|christine christian|robert roberta|martin martina|karen karan|anita amita|sunil sushil|rohan rohit
+aarav arnav|kamal kamala|rajesh rakesh|ramesh suresh|mahesh mukesh|dinesh ganesh|lisa luisa|joan john|dan ian|jane jan|tina gina|mona nona|sam pam|amit sumit
+"""
+# Common given and family names; the first few of each count as very common.
+GIVEN = "john james robert michael william david mary mohammad maria anna ram raj jose wei richard joseph thomas charles daniel matthew anthony mark steven paul andrew peter patrick george kenneth edward brian kevin jason eric stephen larry justin scott brandon benjamin samuel frank gregory raymond alexander jack dennis jerry tyler aaron henry adam douglas nathan zachary kyle walter patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca laura sharon cynthia kathleen amy angela shirley brenda pamela nicole katherine samantha christine emma catherine virginia rachel janet carolyn polly peggy kate nate rahul amit priya rajesh suresh ramesh sunita deepak deepika anil vijay sanjay geetha lakshmi mohan krishna abdul ahmed ali hassan omar jean pierre marie luis carlos juan ana sofia jan hans karl ivan olga anup rajiv riya satyendra ajay mahendra sagar".split()
+FAMILY = "smith kumar singh lee wang khan johnson garcia nguyen patel williams brown jones miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson thomas taylor moore jackson martin perez thompson white harris sanchez clark ramirez lewis robinson walker young allen king wright scott torres hill flores green adams nelson baker hall rivera campbell mitchell carter roberts sharma verma gupta shah yadav reddy iyer menon nair das devi rahman hussain ahmed ali li zhang chen liu yang huang zhao wu zhou xu sun ma chang brooks foster rogers sah".split()
+VERY_COMMON = 16
+
+# Letters that canonical decomposition leaves whole, and their spelling.
+ATOMIC_LETTERS = {"ß": "ss", "ẞ": "SS", "ø": "o", "Ø": "O", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T", "ĸ": "k", "ſ": "s", "ƒ": "f"}
+
+# Romanisation by letter.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya i yi ye g".split(" "), strict=True))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
+GREEK_PAIRS = {"ου": "ou", "αυ": "av", "ευ": "ev", "μπ": "b", "ντ": "nt", "γκ": "g", "τζ": "tz", "αι": "ai", "ει": "ei", "οι": "oi", "γγ": "ng", "τσ": "ts"}
+HEBREW = dict(zip("אבגדהוזחטיכךלמםנןסעפףצץקרשת", "a b g d h v z ch t y k k l m m n n s a p p ts ts k r sh t".split(), strict=True))
+ARABIC = dict(zip("ابتثجحخدذرزسشصضطظعغفقكلمنهويءأإآىةئؤ", "a b t th j h kh d dh r z s sh s d t z a gh f q k l m n h w y  a i a a a y w".split(" "), strict=True))
+DEVANAGARI_CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h l".split(), strict=True))
+DEVANAGARI_VOWELS = dict(zip("अआइईउऊऋएऐओऔ", "a a i i u u ri e ai o au".split(), strict=True))
+DEVANAGARI_SIGNS = dict(zip("ािीुूृेैोौॉॅ", "a i i u u ri e ai o au o e".split(), strict=True))
+NUKTA = {"क": "q", "ख": "kh", "ग": "gh", "ज": "z", "ड": "r", "ढ": "rh", "फ": "f"}
+HAN = dict(zip("王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何高林罗羅郑鄭梁伟偉芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华文", "wang li zhang zhang liu liu chen chen yang yang huang huang zhao zhao wu wu zhou xu sun sun ma ma zhu hu guo he gao lin luo luo zheng zheng liang wei wei fang na min jing li qiang lei jun yang yong yan jie juan tao ming chao xiu xia ping gang gui ying hua wen".split(), strict=True))
+WORDS = {"राहुल": "rahul", "शर्मा": "sharma", "सिंह": "singh", "कुमार": "kumar", "सत्येंद्र": "satyendra", "सागर": "sagar", "محمد": "muhammad", "علي": "ali", "أحمد": "ahmad", "حسن": "hassan", "عبد": "abd", "الله": "allah", "فاطمة": "fatima", "خالد": "khalid", "Петров": "petrov", "Иван": "ivan", "Сергей": "sergei", "Александр": "aleksandr"}
+
+# Code point ranges by script.
+SCRIPTS = {
+    "latin": "A-Za-zªºÀ-ɏḀ-ỿⱠ-Ɀ꜠-ꟿﬀ-ﬆＡ-Ｚａ-ｚ",
+    "greek": "Ͱ-Ͽἀ-῿", "cyrillic": "Ѐ-ԯⷠ-ⷿꙀ-ꚟ", "hebrew": "֐-׿יִ-ﭏ", "arabic": "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻾",
+    "devanagari": "ऀ-ॿ꣠-ꣿ", "bengali": "ঀ-৿", "gurmukhi": "਀-੿", "gujarati": "઀-૿", "tamil": "஀-௿", "telugu": "ఀ-౿", "thai": "฀-๿", "hangul": "ᄀ-ᇿ㄰-㆏가-힯", "kana": "぀-ヿㇰ-ㇿ", "han": "㐀-䶿一-鿿豈-﫿",
+}
+NEUTRAL = "\u0000-@\\[-`{-©«-¹»-¿ -⁯︀-️"
+
+
+def groups(text: str) -> list[list[str]]:
+    return [g.split() for line in text.strip().split("\n") for g in line.split("|")]
