@@ -54,7 +54,8 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
         if k not in high:
             half = 1 << ((k - 1).bit_length() - 1)
             part, out = highest(half), highest(half).copy()
-            out[: n - (k - half)] = np.maximum(out[: n - (k - half)], part[k - half :]) if n > k - half else out[:0]
+            if n > k - half:
+                out[: n - (k - half)] = np.maximum(out[: n - (k - half)], part[k - half :])
             high[k] = out
         return high[k]
 
