@@ -368,7 +368,7 @@ g AS (SELECT *,
 s AS (SELECT l_orderkey, l_linenumber, CASE
   WHEN "suffixConflict" = 0 AND ("normalizedExact" > 0 OR "compactExact" > 0) THEN least(CASE WHEN "normalizedExact" > 0 THEN 1 ELSE 0.99 END, CASE WHEN "affixMismatch" > 0 THEN 0.985 ELSE 1 END)
   ELSE least(ceiling_, greatest(evidence, CASE WHEN coalesce(m1, m2, m3, m5, m8) IS NULL THEN floor_ ELSE 0 END) * coalesce(m1, 1) * coalesce(m2, 1) * coalesce(m3, 1) * coalesce(m4, 1) * coalesce(m5, 1) * coalesce(m6, 1) * coalesce(m7, 1) * coalesce(m8, 1) * coalesce(m9, 1) * coalesce(m10, 1) * coalesce(m11, 1)) END AS s FROM g)
-SELECT l_orderkey, l_linenumber, round(s, 8) AS similarity FROM s
+SELECT l_orderkey, l_linenumber, round(s + 3e-10, 8) AS similarity FROM s
 """
 
 
@@ -377,7 +377,7 @@ def score_features(spark, sf_dir):
     """Gates, floors, ceilings and weighted evidence over made-up features of all line items: native column arithmetic."""
     rows = _table(spark, sf_dir, "lineitem")
     f = rows.select("l_orderkey", "l_linenumber", *[F.expr(f"cast({_FEATURE_SQL.get(k, '0')} as double)").alias(k) for k in sc.FEATURES])
-    return decide.score_features(f).select("l_orderkey", "l_linenumber", F.round("similarity", 8).alias("similarity"))
+    return decide.score_features(f).select("l_orderkey", "l_linenumber", F.round(F.col("similarity") + 3e-10, 8).alias("similarity"))
 
 
 @query("WITH s AS (SELECT o_orderkey, (o_orderkey % 1001) / 1000.0 AS s FROM orders), t AS (SELECT o_orderkey, s, CAST(floor(1 + 99 * s + 0.5) AS INTEGER) AS score FROM s) SELECT o_orderkey, score, CASE WHEN score >= 85 THEN 'very-high' WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'very-low' END AS confidence, round((score - 1) / 99.0, 9) AS back, round(least(1 - 1e-9, greatest(1e-9, 1 / (1 + exp(-(17.727131 * s - 12.778914))))), 8) AS probability FROM t")
