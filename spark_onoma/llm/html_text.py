@@ -187,7 +187,7 @@ def main_text(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     then the text, repeats included. For a page without such an element, the blocks that are left are compared with
     those of the host's other pages (all pages' blocks outside their articles): a suffix array over the pages' words
     finds runs of at least ``MIN_REPEAT`` words that other pages repeat, and only unique runs stay. Hosts are dealt by
-    a hash to arrays of about ``HOST_PAGES`` pages, so a hot host spreads over tasks.
+    a hash to arrays of about ``HOST_PAGES`` pages, which bounds an array; the arrays of one host may share a task.
 
     Null html counts as empty and gives an empty text; null ids and urls are kept (a null url is a host of its own
     kind); repeated rows are pages of their own; an empty table gives no row; other columns are ignored.
