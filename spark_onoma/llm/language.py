@@ -157,7 +157,10 @@ def fit_languages(docs: DataFrame, train_rows=None, per_language: int = PER_LANG
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
-    pick = known.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= per_language).select("doc_id").distinct()
+    # A language's hash range is sized to hold about four times the sample, so ranking reads no more than that.
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    near = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("spot")).join(F.broadcast(sizes), "lang").where(F.col("spot") * F.col("n") <= float(4 * per_language << 30))
+    pick = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id"))).where(F.col("k") <= per_language).select("doc_id").distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
