@@ -13,7 +13,7 @@ from spark_onoma.llm.textops import U64, chunks, mix, powers, stream
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Remembered pre-tokens of a worker; when full, it starts anew.
-MEMO = 1_500_000
+MEMO = 400_000
 #: Bits of the place of a pre-token in the memo; a later one of the same place displaces an earlier one.
 _PLACES = 22
 _SAFE = 0x2060
@@ -173,3 +173,4 @@ def encoded(column: pa.Array, path: str, end_id: int):
     for first, last, data, offsets in chunks(column):
         ids, size = tool.chunk(data, offsets)
         yield first, last, np.insert(ids, np.cumsum(size), end_id).astype(np.uint32), size + 1
+    pa.default_memory_pool().release_unused()
