@@ -17,6 +17,8 @@ from spark_onoma.llm.tokenise import default_tokenizer, encoded
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Rests of documents that are packed together at a time.
 POOL = 4096
+#: Pieces of a record batch that goes back to Spark.
+PIECES = 256
 
 
 def pack_rests(lengths: list[int], limit: int) -> list[tuple[int, int, int, int, int]]:
@@ -80,12 +82,13 @@ def packer(path: str, end_id: int, limit: int, with_ids: bool):
         def piece(doc, start: int, ids: np.ndarray, total: int, sequence: int, offset: int) -> tuple:
             return (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, sequence, offset, *([ids.astype(np.int32)] if with_ids else []))
 
-        def flush() -> list[tuple]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
-            found = [piece(rests[i][0], rests[i][1] + start, rests[i][2][start : start + n], rests[i][3], base + made + s, at) for i, start, n, s, at in pack_rests([len(r[2]) for r in rests], limit)]
-            made += max((x[5] for x in found), default=base + made - 1) - base - made + 1
+            plan = pack_rests([len(r[2]) for r in rests], limit)
+            for k in range(0, len(plan), PIECES):
+                yield rows([piece(rests[i][0], rests[i][1] + start, rests[i][2][start : start + n], rests[i][3], base + made + s, at) for i, start, n, s, at in plan[k : k + PIECES]])
+            made += max((x[3] for x in plan), default=-1) + 1
             rests.clear()
-            return found
 
         for batch in batches:
             for first, _, ids, sizes in encoded(batch.column(1), path, end_id):
@@ -100,11 +103,14 @@ def packer(path: str, end_id: int, limit: int, with_ids: bool):
                     if whole < total:
                         rests.append((doc, whole, own[whole:].copy(), total))
                         if len(rests) >= POOL:
-                            found += flush()
+                            yield from flush()
+                    if len(found) >= PIECES:
+                        yield rows(found)
+                        found = []
                 if found:
                     yield rows(found)
         if rests:
-            yield rows(flush())
+            yield from flush()
 
     return pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 

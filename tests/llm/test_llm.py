@@ -103,6 +103,16 @@ def test_tokens_equal_the_library():
     assert got == want
 
 
+def test_tokens_of_long_texts():
+    rng = random.Random(9)
+    bits = ["word", " of", "  two", "\n", " 1", "'s", " Straße", "中", " ", "!"]
+    texts = ["".join(rng.choices(bits, k=400_000)), "x" * 700_000, "", "ab " * 300_000]
+    tool, parts = tokenise.Encoder(tokenise.default_tokenizer()), [len(tokenise.portions(np.frombuffer(t.encode(), np.uint8))) for t in texts]
+    assert parts[0] > 2 and parts[1:3] == [1, 1] and parts[3] > 2
+    for text, (_, _, ids, sizes) in zip(texts, tokenise.encoded(pa.array(texts), tokenise.default_tokenizer(), 1), strict=True):
+        assert ids.tolist() == [*tool.tokenizer.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
+
+
 def test_packing_is_whole(spark, docs):
     rows = packing.packed_sequences(docs.where("doc_id is not null").distinct()).collect()
     ids = {i: t for i, t in zip(range(11), [x for _, _, a, s in tokenise.encoded(pa.array([r["text"] for r in docs.limit(11).collect()]), tokenise.default_tokenizer(), 1) for x in np.split(a, np.cumsum(s)[:-1])], strict=True)}
