@@ -150,11 +150,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sign, schema = signer(words, percent)
     signed = scratch.save(docs.mapInArrow(sign, schema))
-    classes = signed.where("n_shingles > 0 and id is not null").groupBy("print1", "print2").agg(F.min("id").alias("node"))
-    members = scratch.save(signed.select("id", "n_shingles", "print1", "print2").join(classes, ["print1", "print2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")))
+    # Written, so that the join back has two exchanges and a large group of copies can be split.
+    classes = scratch.save(signed.where("n_shingles > 0 and id is not null").groupBy("print1", "print2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    node = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("node", "id"))
+    members = scratch.save(signed.select("id", "n_shingles", "print1", "print2").join(classes, ["print1", "print2"], "left").select("id", "n_shingles", node.alias("node")))
     nodes = members.where("id = node").select("id").distinct()
     heads = scratch.save(signed.where("n_shingles > 0").join(nodes, "id", "left_semi").drop("n_shingles", "print1", "print2").dropDuplicates(["id", "bands"]))
-    scratch.drop(signed)
+    scratch.drop(signed, classes)
 
     entries = heads.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "key").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are worked on at a time, and so what bounds a worker's memory.
+CHUNK_BYTES = 1 << 18
 #: A word is a run of bytes other than space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -61,6 +64,15 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
+@lru_cache(maxsize=1)
+def _trimmer():
+    """The C library's call that gives freed memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of whole rows of about ``limit`` bytes."""
     data, at = buffers(column)
@@ -69,6 +81,8 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
 
 
 class Words:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import unicodedata
 from functools import lru_cache
 from itertools import chain
@@ -10,13 +9,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from spark_onoma.llm.textops import U64, chunks, mix, powers, stream
+from spark_onoma.llm.textops import CHUNK_BYTES, U64, chunks, mix, powers, stream
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Remembered pre-tokens of a worker; when full, it starts anew.
 MEMO = 400_000
-#: Bytes of text that are worked on at a time; a longer text is cut where no pre-token can reach across.
-PORTION = 1 << 18
 #: Bits of the place of a pre-token in the memo; a later one of the same place displaces an earlier one.
 _PLACES = 22
 _SAFE = 0x2060
@@ -170,16 +167,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(maxsize=1)
-def _trim():
-    """The C library's call that gives freed memory back to the system, where there is one."""
-    try:
-        return ctypes.CDLL(None).malloc_trim
-    except (AttributeError, OSError):
-        return lambda _: 0
-
-
-def portions(data: np.ndarray, limit: int = PORTION) -> list[np.ndarray]:
+def portions(data: np.ndarray, limit: int = CHUNK_BYTES) -> list[np.ndarray]:
     """A long text's bytes in parts of about ``limit``, each but the first starting at a space between two ASCII letters.
 
     A pre-token ends before such a space and another starts with it, so the parts' ids are the text's ids. Without
@@ -200,7 +188,7 @@ def portions(data: np.ndarray, limit: int = PORTION) -> list[np.ndarray]:
 def encoded(column: pa.Array, path: str, end_id: int):
     """(first row, row after the last, ids with ``end_id`` after each row, ids per row) of a string column."""
     tool = encoder(path)
-    for first, last, data, offsets in chunks(column, PORTION):
+    for first, last, data, offsets in chunks(column):
         if last - first == 1:
             parts = [tool.chunk(x, np.array([0, len(x)]))[0] for x in portions(data)]
             ids = np.concatenate(parts)
@@ -208,5 +196,3 @@ def encoded(column: pa.Array, path: str, end_id: int):
         else:
             ids, size = tool.chunk(data, offsets)
         yield first, last, np.insert(ids, np.cumsum(size), end_id).astype(np.uint32), size + 1
-    pa.default_memory_pool().release_unused()
-    _trim()(0)

@@ -34,6 +34,8 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert len(out) == 13 and got[3][1:] == (3, True) and got[4][1:] == got[5][1:] == (3, False)
     assert got[0] == (0, 0, True) and got[6] == (1, 6, True) and got[7] == (1, 7, True) and got[None][1:] == (None, True)
     assert near_dup.near_duplicates(empty(spark)).count() == 0
+    copy = spark.createDataFrame([(None, docs.collect()[3]["text"]), (3, docs.collect()[3]["text"])], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(copy).collect()} == {(None, None, True), (3, 3, True)}
 
 
 def test_near_duplicates_large_group(spark):
