@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spark_onoma.llm.scratch import Scratch
+
 #: A token that holds a digit is a variable field.
 WILDCARD = "<*>"
 SPACES = r"[ \t\x0b\f\r]+"
@@ -29,17 +31,21 @@ def line_templates(docs: DataFrame, min_tokens: int = 3) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = 2, min_tokens: int = 3) -> DataFrame:
     """(doc_id, line_no) of the lines to drop: their template is in ``min_docs`` documents or more, and not first here.
 
-    Only 128 bits of a template and the ids are shuffled. First documents are minima, which every task takes of its
-    own lines before the exchange; the join back is left to the adaptive planner to split, so a line that a third of
-    the corpus holds has no task of its own.
+    Lines are parsed once and their keys (128 bits of a template, the leaf and the ids) written to the shared folder;
+    nothing else is shuffled. First documents are minima, which every task takes of its own lines before the exchange.
+    They are written too, so that both sides of the join back come from exchanges of their own: the adaptive planner
+    can then split the partition of a line that a third of the corpus holds, and may broadcast the recurring templates
+    where they are few.
     """
+    scratch = Scratch(docs.sparkSession, "lines")
     rows = line_templates(docs, min_tokens)
-    keyed = rows.select("doc_id", "line_no", F.xxhash64("leaf.n", "leaf.lead").alias("leaf"), F.xxhash64("template").alias("h1"), F.xxhash64(F.lit(1), "template").alias("h2"))
+    keyed = scratch.save(rows.select("doc_id", "line_no", F.xxhash64("leaf.n", "leaf.lead").alias("leaf"), F.xxhash64("template").alias("h1"), F.xxhash64(F.lit(1), "template").alias("h2")))
     if min_docs <= 2:
         found = keyed.groupBy("leaf", "h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     else:
         found = keyed.groupBy("leaf", "h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf", "h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    return keyed.join(found.select("leaf", "h1", "h2", "first_doc"), ["leaf", "h1", "h2"]).where("doc_id > first_doc").select("doc_id", "line_no")
+    found = scratch.save(found.select("leaf", "h1", "h2", "first_doc"))
+    return keyed.join(found, ["leaf", "h1", "h2"]).where("doc_id > first_doc").select("doc_id", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, min_tokens: int = 3) -> DataFrame:
