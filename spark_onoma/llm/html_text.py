@@ -198,5 +198,6 @@ def main_text(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     parsed = scratch.save(source.mapInArrow(_parse, f"page_id {kind}, url string, host string, text string, side array<string>, main boolean"))
     counts = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / HOST_PAGES).alias("parts"), F.bool_and("main").alias("done")).where("not done").select("host", "parts")
     dealt = parsed.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-    rest = dealt.select("host", "part", "page_id", "url", "side", "main").groupBy("host", "part").applyInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    # Dealt anew by both columns: else the planner keeps the deal by host, and a large host stays in one task.
+    rest = dealt.select("host", "part", "page_id", "url", "side", "main").repartition("host", "part").groupBy("host", "part").applyInArrow(_unique_runs, f"page_id {kind}, url string, text string")
     return parsed.where("main").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
