@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spark_onoma.functions import distance as d
 from spark_onoma.functions import lexicon as lex
@@ -66,32 +67,32 @@ def _udf(f, kind: str) -> Callable[..., Column]:
     return F.pandas_udf(lambda *columns: pd.Series([f(*row) for row in zip(*columns, strict=True)], dtype=object), kind)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([d.damerau(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([d.jaro(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([d.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([d.lcs_length(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(x: pd.Series) -> pd.Series:
     return x.map(nm.fold_accents)
 
 
-@F.pandas_udf("primary string, secondary string, nysiis string, key string")
+@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in ("primary", "secondary", "nysiis", "key")]))
 def _codes(x: pd.Series) -> pd.DataFrame:
     codes = x.map(ph.double_metaphone_full)
     return pd.DataFrame({"primary": codes.str[0], "secondary": codes.str[1], "nysiis": x.map(ph.nysiis), "key": x.map(ph.phonetic_key)})
