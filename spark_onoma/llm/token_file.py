@@ -166,14 +166,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Encode every text and write the ids in ascending ``doc_id`` order as Simple-8b shards.
 
     The shards are the ``payload`` column of Parquet files at ``path``, so any store that Spark writes to will do.
-    Rows are dealt out by ranges of the id, so each task holds one shard at a time. Null text counts as empty (the end
+    Texts are dealt out by ranges of the id and encoded after that, once; each task holds one shard at a time. Null text counts as empty (the end
     id alone); null ids come first; repeated rows are written each.
     """
     run, schema = _tokens(tokenizer or default_tokenizer(), end_id)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     make, kinds = _shards(shard_ids)
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(make, kinds).write.parquet(path)
+    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema).mapInArrow(make, kinds).write.parquet(path)
 
 
 def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
