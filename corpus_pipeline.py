@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines whose template an earlier document has."""
-    return drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without lines, of any number of words, whose template an earlier document has."""
+    return drop_recurring_lines(docs, min_tokens=1).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,13 +18,13 @@ def _tokens(line: Column) -> Column:
 
 
 def line_templates(docs: DataFrame, min_tokens: int = 3) -> DataFrame:
-    """(doc_id, line_no, leaf, template) of every line with at least ``min_tokens`` tokens.
+    """(doc_id, line_no, leaf, template) of every line with at least ``min_tokens`` tokens; blank lines never take part.
 
     The tree has a fixed depth: token count, then the leading tokens with variable fields generalised; a leaf's
     template is the line with every variable field generalised.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    tokens = lines.select("doc_id", "line_no", F.transform(_tokens("line"), lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t)).alias("t")).where(F.size("t") >= min_tokens)
+    tokens = lines.select("doc_id", "line_no", F.transform(_tokens("line"), lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t)).alias("t")).where((F.size("t") >= min_tokens) & (F.col("t")[0] != ""))
     return tokens.select("doc_id", "line_no", F.struct(F.size("t").alias("n"), F.slice("t", 1, LEADING).alias("lead")).alias("leaf"), F.array_join("t", " ").alias("template"))
 
 
@@ -51,7 +51,7 @@ def recurring(docs: DataFrame, min_docs: int = 2, min_tokens: int = 3) -> DataFr
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, min_tokens: int = 3) -> DataFrame:
     """The documents without lines whose template an earlier document (by id) has; adds ``n_lines, n_dropped``.
 
-    Lines end at a line feed. Lines of fewer than ``min_tokens`` tokens always stay, as do the lines of the first
+    Lines end at a line feed. Blank lines and lines of fewer than ``min_tokens`` tokens always stay, as do the lines of the first
     document with a template, repeats within one document and rows with a null id. Null text stays null with no line;
     a document that loses all its lines stays with an empty text. Rows that share an id count as one document whose
     line numbers are dropped in each. Other columns pass through whatever their names.

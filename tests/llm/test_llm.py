@@ -74,6 +74,14 @@ def test_line_dedup_matches_sql(spark, docs):
     assert {r["doc_id"]: r["n_dropped"] for r in got.collect()}[10] == 1 and line_dedup.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_line_stage_of_the_pipeline_takes_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Les.\n\nAnd ornd.\nown first line", "en", "s", 0), (2, "Les.\n\nsecond text\nAnd ornd.\n ", "en", "s", 0), (3, "\n ", "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {1: rows[0][1], 2: "\nsecond text\n ", 3: rows[2][1]}
+
+
 def test_span_dedup(spark, docs):
     shared = "One short sentence stands here today. Another sentence follows it closely now. A third one ends this passage well. "
     rows = [(1, f"Alpha beta gamma. {shared}Own end."), (2, f"Quite another start. {shared}Last words."), (3, "Clean text stays. It has its own words. Nothing repeats in it at all, not once, nor twice.")]
