@@ -13,14 +13,16 @@ from spark_onoma.llm.textops import U64, Words, chunks, mix
 
 RUN = 3
 MIN_WORDS = 12
-#: One in so many words also ends a unit, by its hash alone, so that texts without punctuation are cut alike everywhere.
-CUT = 16
+#: Of so many words in a row at least one ends a unit. With 8, any 47 words in a row that two texts share hold a common run of
+#: three units and twelve words: ends are alike from the eighth word of a passage to the ninth from its end.
+WINDOW = 8
 
 
 def units(words: Words) -> np.ndarray:
     """First words of the sentence units of a chunk, each inside one row.
 
-    A unit ends at a word that ends in . ! ? or before a line feed, or at a word picked by its hash.
+    A unit ends at a word that ends in . ! ? or before a line feed, and where ``WINDOW`` words in a row hold no such end, at
+    those of the least hash among them. So the words around a place alone decide on it, whatever stands farther away.
     """
     n = len(words.start)
     if not n:
@@ -28,8 +30,18 @@ def units(words: Words) -> np.ndarray:
     last = words.data[words.end - 1]
     line = np.zeros(len(words.data) + 1, np.int64)
     np.cumsum(words.data == 10, out=line[1:])
-    ends = (last == 46) | (last == 33) | (last == 63) | ((words.hash & U64(CUT - 1)) == 0)
+    ends = (last == 46) | (last == 33) | (last == 63)
     ends[:-1] |= (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+    ends[-1] = True
+    if (m := n - WINDOW + 1) > 0:
+        before = np.zeros(n + 1, np.int64)
+        np.cumsum(ends, out=before[1:])
+        bare = before[WINDOW:] == before[:m]
+        least = words.hash[:m].copy()
+        for j in range(1, WINDOW):
+            np.minimum(least, words.hash[j : j + m], out=least)
+        for j in range(WINDOW):
+            ends[j : j + m] |= bare & (words.hash[j : j + m] == least)
     return np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
 
 

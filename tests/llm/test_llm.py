@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spark_onoma.llm import decontaminate, graph, html_text, language, line_dedup, near_dup, packing, span_dedup, token_file, tokenise, toxicity, vector_dedup
+from spark_onoma.llm import decontaminate, graph, html_text, language, line_dedup, near_dup, packing, span_dedup, textops, token_file, tokenise, toxicity, vector_dedup
 from spark_onoma.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,6 +90,23 @@ def test_span_dedup(spark, docs):
     assert span_dedup.drop_repeated_spans(docs).count() == 13 and span_dedup.drop_repeated_spans(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("stops", [0, 30])
+def test_every_repeat_of_fifty_words_has_a_common_run(stops):
+    """Passages of 50 words in other surroundings, with and without punctuation, and of few different words."""
+    rng = random.Random(12)
+    for vocabulary in (1, 3, 500):
+        word = lambda: f"v{rng.randrange(vocabulary)}" + "." * (rng.randrange(1000) < stops)  # noqa: B023, E731
+        texts = []
+        for _ in range(300):
+            passage = [word() for _ in range(50)]
+            texts += [" ".join([*(f"x{rng.random()}" for _ in range(rng.randrange(30))), *passage, *(f"y{rng.random()}" for _ in range(rng.randrange(30)))]) for _ in range(2)]
+        data = [t.encode() for t in texts]
+        words = textops.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        starts, unit, _, key = span_dedup.runs(words, span_dedup.RUN, span_dedup.MIN_WORDS)
+        found = [set(key[words.doc[starts[unit]] == row].tolist()) for row in range(len(texts))]
+        assert all(found[i] & found[i + 1] for i in range(0, len(texts), 2))
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((20, 16))
