@@ -1,4 +1,4 @@
-"""Line deduplication by a log-template tree, in DataFrame functions only."""
+"""Line deduplication by masked templates, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -20,8 +20,9 @@ def _tokens(line: Column) -> Column:
 def line_templates(docs: DataFrame, min_tokens: int = 3) -> DataFrame:
     """(doc_id, line_no, leaf, template) of every line with at least ``min_tokens`` tokens; blank lines never take part.
 
-    The tree has a fixed depth: token count, then the leading tokens with variable fields generalised; a leaf's
-    template is the line with every variable field generalised.
+    The template is the line with every variable field (a token with a digit) masked; tokens without one are never
+    generalised. The leaf of a fixed-depth log-template tree (token count, leading tokens) follows from the template and
+    only lengthens its key.
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     tokens = lines.select("doc_id", "line_no", F.transform(_tokens("line"), lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t)).alias("t")).where((F.size("t") >= min_tokens) & (F.col("t")[0] != ""))
