@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_onoma.llm.scratch import Scratch
+from spark_onoma.llm.textops import Words, chunks, grams
 
 #: Words of the shortest repeat that counts as boilerplate.
 MIN_REPEAT = 6
-#: Pages of a host that one suffix array spans, about.
+#: Pages of a host that one suffix array spans at most; repeats of larger hosts are found by joining hashes of runs.
 HOST_PAGES = 256
 
 # Fixed sets of element names.
@@ -158,6 +159,9 @@ def repeated(pages: list[list[str]], least: int = MIN_REPEAT) -> list[np.ndarray
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts, sides, mains = [], [], []
         for page in batch.column(2):
@@ -165,7 +169,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(" ".join(inner))
             sides.append(outer)
             mains.append(found)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string()), pa.array(sides, pa.list_(pa.string())), pa.array(mains, pa.bool_())], names=["page_id", "url", "host", "text", "side", "main"])
+        rows = pa.array(np.arange(at, at + batch.num_rows))
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string()), pa.array(sides, pa.list_(pa.string())), pa.array(mains, pa.bool_())], names=["row", "page_id", "url", "host", "text", "side", "main"])
 
 
 def _unique_runs(table: pa.Table) -> pa.Table:
@@ -180,14 +186,56 @@ def _unique_runs(table: pa.Table) -> pa.Table:
     return pa.table({"page_id": table["page_id"].take(rows), "url": table["url"].take(rows), "text": pa.array([texts[r] for r in open_rows], pa.string())})
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, site, words) to a row for each run of ``MIN_REPEAT`` words: its hash and its first word."""
+    for batch in batches:
+        for first, last, data, offsets in chunks(batch.column(2)):
+            words = Words(data, offsets, lower=False)
+            key = grams(words.hash, MIN_REPEAT)
+            start = np.flatnonzero(words.doc[: len(key)] == words.doc[len(words.doc) - len(key) :])
+            page = pa.array(words.doc[start])
+            own = [batch.column(k).slice(first, last - first).take(page) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(key[start].view(np.int64)), pa.array((start - words.bounds[words.doc[start]]).astype(np.int32))], names=["row", "site", "run", "at"])
+
+
+def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for page, runs in zip(batch.column(2), batch.column(3), strict=True):
+            words = page.as_py().split(" ")
+            gone = np.zeros(len(words), dtype=bool)
+            if runs.is_valid:
+                at = runs.values.to_numpy(zero_copy_only=False)
+                for k in range(MIN_REPEAT):
+                    gone[at + k] = True
+            texts.append(" ".join(w for w, x in zip(words, gone, strict=True) if not x))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _large_hosts(pages: DataFrame, kind: str) -> DataFrame:
+    """Unique runs of the open pages of hosts of any size, as ``repeated`` over the whole host would leave them.
+
+    A word lies in a run of ``MIN_REPEAT`` words or more that another page has if and only if it lies in a run of just
+    ``MIN_REPEAT`` words that another page has, so runs of that length are hashed (64 bits) and joined by host. Minima
+    and maxima of their pages tell what several pages have; every task takes them of its own runs before the exchange.
+    """
+    source = pages.select("row", F.xxhash64("host").alias("site"), F.array_join("side", " ").alias("words"), "page_id", "url", "main")
+    schema = "row long, site long, run long, at int"
+    shared = source.select("row", "site", "words").mapInArrow(_runs, schema).groupBy("site", "run").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("site", "run")
+    own = source.where("not main").select("row", "site", "words").mapInArrow(_runs, schema)
+    marks = own.join(shared, ["site", "run"]).groupBy(F.col("row").alias("marked")).agg(F.collect_list("at").alias("runs"))
+    left = source.where("not main").join(marks, F.col("row") == F.col("marked"), "left").select("page_id", "url", "words", "runs")
+    return left.mapInArrow(_cut_runs, f"page_id {kind}, url string, text string")
+
+
 def main_text(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its article, blocks joined by one space.
 
     Elements that their name, role, class or id marks as boilerplate go. What is in <article>, <main> or role=main is
     then the text, repeats included. For a page without such an element, the blocks that are left are compared with
     those of the host's other pages (all pages' blocks outside their articles): a suffix array over the pages' words
-    finds runs of at least ``MIN_REPEAT`` words that other pages repeat, and only unique runs stay. Hosts are dealt by
-    a hash to arrays of about ``HOST_PAGES`` pages, which bounds an array; the arrays of one host may share a task.
+    finds runs of at least ``MIN_REPEAT`` words that other pages repeat, and only unique runs stay. Hosts of more than
+    ``HOST_PAGES`` pages, too many for one array, get the same text from a join of the hashes of their runs.
 
     Null html counts as empty and gives an empty text; null ids and urls are kept (a null url is a host of its own
     kind); repeated rows are pages of their own; an empty table gives no row; other columns are ignored.
@@ -195,9 +243,9 @@ def main_text(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(pages.sparkSession, "html")
     source = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"))
     kind = source.schema["page_id"].dataType.simpleString()
-    parsed = scratch.save(source.mapInArrow(_parse, f"page_id {kind}, url string, host string, text string, side array<string>, main boolean"))
-    counts = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / HOST_PAGES).alias("parts"), F.bool_and("main").alias("done")).where("not done").select("host", "parts")
-    dealt = parsed.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-    # Dealt anew by both columns: else the planner keeps the deal by host, and a large host stays in one task.
-    rest = dealt.select("host", "part", "page_id", "url", "side", "main").repartition("host", "part").groupBy("host", "part").applyInArrow(_unique_runs, f"page_id {kind}, url string, text string")
-    return parsed.where("main").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = scratch.save(source.mapInArrow(_parse, f"row long, page_id {kind}, url string, host string, text string, side array<string>, main boolean"))
+    counts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.bool_and("main").alias("done")).where("not done").select("host", "pages")
+    # Dealt anew by both columns: else the planner keeps the deal by host, and a large host's pages meet the join in one task.
+    small = parsed.join(counts.where(F.col("pages") <= HOST_PAGES), "host").select("host", "pages", "page_id", "url", "side", "main").repartition("host", "pages").groupBy("host", "pages").applyInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    large = _large_hosts(parsed.join(counts.where(F.col("pages") > HOST_PAGES), "host"), kind)
+    return parsed.where("main").select("page_id", "url", "text").unionByName(small).unionByName(large).withColumn("n_chars", F.length("text").cast("long"))

@@ -207,6 +207,23 @@ def test_html_frame(spark):
     assert got == {0: "page0 is my own", 1: "page1 is my own", 2: "page2 is my own", 3: "page3 is my own", 9: "", 10: "kept twice"}
 
 
+def test_html_of_a_large_host(spark):
+    """Repeats on a few pages of a host of several times HOST_PAGES pages; the want is one suffix array over all."""
+    rng = random.Random(14)
+    boilers = [" ".join(f"b{k}x{i}" for i in range(n)) for k, n in enumerate((5, 6, 7, 20))]
+    rows = []
+    for i in range(3 * html_text.HOST_PAGES):
+        blocks = [" ".join(f"w{rng.randrange(20)}" for _ in range(rng.randrange(12))), f"own{i}", *(b for b in boilers if rng.random() < 0.01)]
+        rng.shuffle(blocks)
+        rows.append((i % 500, f"http://large.example/{i % 500}", "".join(f"<div>{b}</div>" for b in blocks) + ("<article>a text</article>" if i % 50 == 0 else "")))
+    rows += [(1000, "http://large.example/none", None), (1001, "http://small.example/", f"<div>{boilers[3]}</div>")]
+    pages = [[w for b in html_text.blocks(h or "")[1] for w in b.split(" ")] for _, _, h in rows[:-1]]
+    want = [" ".join(w for w, gone in zip(words, mask, strict=True) if not gone) for words, mask in zip(pages, html_text.repeated(pages), strict=True)]
+    want = [(r[0], "a text" if "<article" in (r[2] or "") else t) for r, t in zip(rows, [*want, boilers[3]], strict=True)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted(want) and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices(["calm", "tree", "river", "stone"], k=30)) + (" scumbag" if i % 5 == 0 else "")) for i in range(400)] + [(900, None), (901, "")]
