@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from spark_onoma.llm.textops import PLACE_CODE, U64, Words, buffers, chunks, mix
 
-# Fixed masks: a 1 is a word that must agree, a 0 one that may differ.
-MASKS = ("11101101", "110110111", "1101001011", "11100010111")
+# Fixed masks: a 1 is a word that must agree, a 0 one that may differ. A window of 26 words or more with the needed share
+# has a shorter one with it, and in every window of 13 to 25 words these two meet, wherever its differing words stand.
+MASKS = ("1111", "1110111")
 #: An overlap has at least so many words (or all of a shorter item) of which so many agree.
 MIN_WORDS, MIN_SHARE = 13, 0.8
+#: What a word that differs takes from a window's sum, if one that agrees adds 1 and a window of that share has 0.
+_LOSS = -round(MIN_SHARE / (1 - MIN_SHARE))
 #: Items with fewer words are too short to tell from chance.
 LEAST_ITEM = 5
 #: Words of benchmark text that are sent to the executors at a time (about 60 bytes a word).
@@ -55,8 +58,7 @@ class Index:
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         keys, owner, place = [], [], []
         self.masks = list(MASKS)
-        shortest = min(map(len, MASKS))
-        self.masks += ["1" * n for n in sorted({len(w) for w in self.words if len(w) < shortest})]
+        self.masks += ["1" * n for n in sorted({len(w) for w in self.words if len(w) < MIN_WORDS})]
         for number, mask in enumerate(self.masks):
             for i, w in enumerate(self.words):
                 if number >= len(MASKS) and len(w) != len(mask):
@@ -86,32 +88,44 @@ class Index:
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 yield np.repeat(maybe, n), self.owner[at], self.place[at]
 
-    def overlap(self, text: np.ndarray, item: np.ndarray, shift: int, seed: int) -> tuple[int, int, int] | None:
-        """(first word, words, agreeing words) of the best run around a seed on a diagonal, if it is long and like enough.
+    def overlap(self, text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+        """(first word, words, agreeing words) of the window on a diagonal with most agreeing words, then fewest words.
 
-        A run gains 1 for a word that agrees and loses 2 for one that differs, so four of five words agree or it ends.
+        Windows are all those of ``MIN_WORDS`` words or more (or the whole of a shorter item) with the share
+        ``MIN_SHARE``: a word that agrees gains 1 and one that differs loses 4, so such a window has no loss.
         """
         a, b = max(0, shift), min(len(text), shift + len(item))
+        least = min(MIN_WORDS, len(item))
+        if b - a < least:
+            return None
         same = text[a:b] == item[a - shift : b - shift]
-        gain = np.where(same, 1, -2)
-        middle = seed - a
-        back, ahead = np.cumsum(gain[:middle][::-1]), np.cumsum(gain[middle:])
-        start = middle - (int(back.argmax()) + 1 if len(back) and back.max() > 0 else 0)
-        end = middle + int(ahead.argmax()) + 1
-        size, agree = end - start, int(same[start:end].sum())
-        return (a + start, size, agree) if size >= min(MIN_WORDS, len(item)) and agree >= MIN_SHARE * size else None
+        gain, count = np.zeros(b - a + 1, np.int64), np.zeros(b - a + 1, np.int64)
+        np.cumsum(np.where(same, 1, _LOSS), out=gain[1:])
+        np.cumsum(same, out=count[1:])
+        # For each end the first start without a loss is where the running minimum falls to the end's sum.
+        start = np.searchsorted(-np.minimum.accumulate(gain), -gain)
+        end = np.arange(b - a + 1)
+        fit = np.flatnonzero(end - start >= least)
+        if not len(fit):
+            return None
+        agree = count[fit] - count[start[fit]]
+        best = int(fit[np.lexsort((fit - start[fit], -agree))[0]])
+        first = int(start[best])
+        while best - first > least and not same[first]:
+            first += 1
+        return a + first, best - first, int(count[best] - count[first])
 
     def hits(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item id, first word, words, agreeing words) of a column of texts; one row per text, item and diagonal."""
         for first, _, data, offsets in chunks(column):
             words = bare_words(data, offsets)
-            groups: dict[tuple[int, int, int], int] = {}
+            groups: set[tuple[int, int, int]] = set()
             for at, item, place in self.seeds(words.hash):
                 for w, i, p in zip(at.tolist(), item.tolist(), place.tolist(), strict=True):
-                    groups.setdefault((int(words.doc[w]), i, w - p), w)
-            for (row, i, shift), w in groups.items():
+                    groups.add((int(words.doc[w]), i, w - p))
+            for row, i, shift in groups:
                 a, b = int(words.bounds[row]), int(words.bounds[row + 1])
-                if w < b and (found := self.overlap(words.hash[a:b], self.words[i], shift - a, w - a)):
+                if found := self.overlap(words.hash[a:b], self.words[i], shift - a):
                     yield first + row, self.ids[i], *found
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -193,6 +194,45 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()) == [3, 4, 5]
 
 
+def test_seeds_meet_every_overlap():
+    for n in range(13, 26):
+        for differ in itertools.combinations(range(n), n // 5):
+            same = "".join("0" if i in differ else "1" for i in range(n))
+            assert "1111" in same or any(same[i : i + 3] == same[i + 4 : i + 7] == "111" for i in range(n - 6)), same
+    assert decontaminate.MASKS == ("1111", "1110111")
+
+
+def test_overlap_on_a_whole_diagonal(spark):
+    """Qualifying windows away from the first seed of their diagonal, beside worn text, and random ones by brute force."""
+    rng = random.Random(16)
+    item = [f"term{i}" for i in range(57)]
+    other = lambda n: [f"x{rng.random()}" for _ in range(n)]
+    later = [*item[:10], *other(25), *item[35:]]
+    core = [*item[:13], *(w if i % 10 < 7 else other(1)[0] for i, w in enumerate(item[13:43]))]
+    worn = [w if i % 4 else other(1)[0] for i, w in enumerate(item)]
+    rows = [(1, " ".join([*other(9), *later, *other(9)])), (2, " ".join([*other(9), *core, *other(9)])), (3, " ".join([*worn, *other(5)]))]
+    for i in range(4, 40):
+        share = rng.choice([0.5, 0.65, 0.75])
+        rows.append((i, " ".join([*other(rng.randrange(9)), *(w if rng.random() < share else other(1)[0] for w in item), *other(rng.randrange(9))])))
+
+    def best(words):
+        found = (0, 0)
+        for shift in range(-57, len(words)):
+            same = [0 <= i + shift < len(words) and words[i + shift] == w for i, w in enumerate(item)]
+            for a in range(max(0, -shift), 57):
+                for b in range(a + 13, min(57, len(words) - shift) + 1):
+                    if 5 * (n := sum(same[a:b])) >= 4 * (b - a):
+                        found = max(found, (n, a - b))
+        return found
+
+    want = {i: -size for i, t in rows for n, size in [best(t.split())] if n}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.contamination(frame, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    assert {1, 2} <= found.keys() and found.keys() == want.keys()
+    for i, r in found.items():
+        assert r["length"] == want[i] and 5 * r["matches"] >= 4 * r["length"]
+
+
 def test_html():
     inner, outer, found = html_text.blocks('<head><title>t</title></head><nav>menu</nav><article><h1>A &amp; B</h1><p>x<b>y</b> z<br>w<aside>no</aside><div class="share">no</div></p><script>"</p>"</script><p>end&nbsp;&lt;</article><footer>f</footer>')
     assert found and inner == ["A & B", "xy z", "w", "end <"] and outer == []
