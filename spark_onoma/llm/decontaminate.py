@@ -18,8 +18,6 @@ MASKS = ("1111", "1110111")
 MIN_WORDS, MIN_SHARE = 13, 0.8
 #: What a word that differs takes from a window's sum, if one that agrees adds 1 and a window of that share has 0.
 _LOSS = -round(MIN_SHARE / (1 - MIN_SHARE))
-#: Items with fewer words are too short to tell from chance.
-LEAST_ITEM = 5
 #: Words of benchmark text that are sent to the executors at a time (about 60 bytes a word).
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 24
@@ -50,23 +48,32 @@ def seeded(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out + U64(number + 1))
 
 
+def short_parts(n: int) -> list[tuple[int, int]]:
+    """Parts of an item of n words, one more than the words that may differ, so that one of them agrees whole."""
+    parts = int(n * (1 - MIN_SHARE) + 1e-9) + 1
+    return [(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
-        items = [x for x in items if len(x[1]) >= LEAST_ITEM]
+        items = [x for x in items if len(x[1])]
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         keys, owner, place = [], [], []
-        self.masks = list(MASKS)
-        self.masks += ["1" * n for n in sorted({len(w) for w in self.words if len(w) < MIN_WORDS})]
+        parts = [short_parts(len(w)) if len(w) < MIN_WORDS else [] for w in self.words]
+        self.masks = list(MASKS) + ["1" * n for n in sorted({b - a for found in parts for a, b in found})]
         for number, mask in enumerate(self.masks):
             for i, w in enumerate(self.words):
-                if number >= len(MASKS) and len(w) != len(mask):
-                    continue
                 key = seeded(w, mask, number)
-                keys.append(key)
-                owner.append(np.full(len(key), i))
-                place.append(np.arange(len(key)))
+                at = np.arange(len(key))
+                if len(w) < MIN_WORDS:
+                    at = np.array([a for a, b in parts[i] if number >= len(MASKS) and b - a == len(mask)], np.int64)
+                elif number >= len(MASKS):
+                    continue
+                keys.append(key[at])
+                owner.append(np.full(len(at), i))
+                place.append(at)
         every = np.concatenate(keys) if keys else np.zeros(0, U64)
         order = np.argsort(every, kind="stable")
         self.keys = every[order]
@@ -146,6 +153,8 @@ def indexes(benchmark: DataFrame) -> list[Index]:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, length, matches): overlaps of at least 13 words (or a whole shorter item), 80 % agreeing.
 
+    Items of 1 to 12 words are searched whole: up to 4 words all must agree, of 5 to 9 one may differ, of 10 to 12 two.
+    An item of a word or two so meets every text that has them; whoever does not want that leaves such items out.
     The benchmark is the query set: it goes over all documents in blocks of bounded size, and no document is shuffled.
     Null or empty texts have no overlap; repeated documents are reported each.
     """

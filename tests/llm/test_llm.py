@@ -233,6 +233,19 @@ def test_overlap_on_a_whole_diagonal(spark):
         assert r["length"] == want[i] and 5 * r["matches"] >= 4 * r["length"]
 
 
+def test_short_items_are_searched_whole(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 13)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(99, "")], "item_id long, text string")
+    rows, want = [], {}
+    for n, item in items.items():
+        for count in range(4):
+            for differ in itertools.combinations(range(n), count):
+                want[len(rows)] = [n] if n - count >= 0.8 * n else []
+                rows.append((len(rows), " ".join(["a", *(w if k not in differ else "b" for k, w in enumerate(item)), "c"])))
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.flag_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
 def test_html():
     inner, outer, found = html_text.blocks('<head><title>t</title></head><nav>menu</nav><article><h1>A &amp; B</h1><p>x<b>y</b> z<br>w<aside>no</aside><div class="share">no</div></p><script>"</p>"</script><p>end&nbsp;&lt;</article><footer>f</footer>')
     assert found and inner == ["A & B", "xy z", "w", "end <"] and outer == []
