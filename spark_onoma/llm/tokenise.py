@@ -62,7 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -80,6 +80,16 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
+    def marked(self, data: np.ndarray) -> np.ndarray:
+        """Where the text of an added token starts; only the library knows its id and what it takes with it."""
+        raw, out = data.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(token, at + 1)
+        return np.array(out, np.int64)
+
     def _borders(self, kind: np.ndarray, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where pre-tokens start; ``rows``: True where a row starts, one longer than the text."""
         n = len(kind)
@@ -120,7 +130,9 @@ class Encoder:
         kind = KINDS[low]
         unsafe = np.zeros(n + 1, np.int64)
         np.cumsum(kind == UNSAFE, out=unsafe[1:])
-        slow = np.flatnonzero(unsafe[bounds[1:]] > unsafe[bounds[:-1]])
+        slow = unsafe[bounds[1:]] > unsafe[bounds[:-1]]
+        slow[np.searchsorted(offsets[1:], self.marked(data), "right")] = True
+        slow = np.flatnonzero(slow)
         edge = np.zeros(n + 1, dtype=bool)
         edge[bounds] = True
         start = self._borders(kind, code, edge)
@@ -190,7 +202,7 @@ def encoded(column: pa.Array, path: str, end_id: int):
     tool = encoder(path)
     for first, last, data, offsets in chunks(column):
         if last - first == 1:
-            parts = [tool.chunk(x, np.array([0, len(x)]))[0] for x in portions(data)]
+            parts = [tool.chunk(x, np.array([0, len(x)]))[0] for x in ([data] if len(tool.marked(data)) else portions(data))]
             ids = np.concatenate(parts)
             size = np.array([len(ids)])
         else:

@@ -141,6 +141,17 @@ def test_tokens_of_long_texts():
         assert ids.tolist() == [*tool.tokenizer.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
 
 
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    path = tokenise.default_tokenizer()
+    mark = "<|endoftext|>"
+    texts = ["plain", f"a {mark} b", "", mark, f"{mark}{mark} x", "<|endoftext", "|> none", f"中 {mark}", "ab " * 300_000 + mark + " end" * 9]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    got = [x[:-1].tolist() for _, _, ids, sizes in tokenise.encoded(pa.array(texts), path, 1) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == want and 50256 in got[1]
+
+
 def test_packing_is_whole(spark, docs):
     rows = packing.packed_sequences(docs.where("doc_id is not null").distinct()).collect()
     ids = {i: t for i, t in zip(range(11), [x for _, _, a, s in tokenise.encoded(pa.array([r["text"] for r in docs.limit(11).collect()]), tokenise.default_tokenizer(), 1) for x in np.split(a, np.cumsum(s)[:-1])], strict=True)}
