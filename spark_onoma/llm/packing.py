@@ -25,12 +25,15 @@ def pack_rests(lengths: list[int], limit: int) -> list[tuple[int, int, int, int,
     """(item, start in the item, length, sequence, offset) for items shorter than ``limit``.
 
     There are as many sequences as the tokens need, plus one padded end. Items go in descending order of their cost,
-    a * n + b * n * n, to the sequence of the lowest cost that has room; one that fits nowhere is cut over those with
+    a * n + b * n * n, to the sequence of the lowest cost among all that have room; one that fits nowhere is cut over those with
     the most room.
     """
     count = -(-sum(lengths) // limit)
     used, cost, out = [0] * count, [0.0] * count, []
-    heap = [(0.0, s) for s in range(count)]
+    # Sequences by their tokens so far, each heap by cost; ``least`` has the cost of each heap's first.
+    heaps: dict[int, list[tuple[float, int]]] = {0: [(0.0, s) for s in range(count)]}
+    least = np.full(limit + 1, np.inf)
+    least[0] = 0.0 if count else np.inf
     order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: (-lengths[i], i))
     late = []
 
@@ -40,18 +43,16 @@ def pack_rests(lengths: list[int], limit: int) -> list[tuple[int, int, int, int,
         cost[s] += LINEAR * n + QUADRATIC * n * n
 
     for item in order:
-        n, aside = lengths[item], []
-        while heap and used[heap[0][1]] + n > limit and len(aside) < 64:
-            aside.append(heapq.heappop(heap))
-        if heap and used[heap[0][1]] + n <= limit:
-            s = heapq.heappop(heap)[1]
-            put(item, 0, n, s)
-            if used[s] < limit:
-                heapq.heappush(heap, (cost[s], s))
-        else:
+        n = lengths[item]
+        at = int(least[: limit - n + 1].argmin())
+        if least[at] == np.inf:
             late.append(item)
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        s = heapq.heappop(heaps[at])[1]
+        least[at] = heaps[at][0][0] if heaps[at] else np.inf
+        put(item, 0, n, s)
+        heapq.heappush(heaps.setdefault(used[s], []), (cost[s], s))
+        least[used[s]] = heaps[used[s]][0][0]
     room = sorted((s for s in range(count) if used[s] < limit), key=lambda s: (used[s], s))
     at = 0
     for item in late:

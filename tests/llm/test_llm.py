@@ -141,6 +141,30 @@ def test_tokens_of_long_texts():
         assert ids.tolist() == [*tool.tokenizer.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
 
 
+def test_packing_finds_the_cheapest_room():
+    """Against a plain search of all sequences; items of full cost stand before many cheaper ones without room."""
+
+    def plain(lengths, limit):
+        count = -(-sum(lengths) // limit)
+        used, cost, out = [0] * count, [0.0] * count, set()
+        for i in sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: (-lengths[i], i)):
+            n = lengths[i]
+            fits = [s for s in range(count) if used[s] + n <= limit]
+            if fits:
+                s = min(fits, key=lambda s: (cost[s], used[s], s))
+                out.add((i, s, used[s]))
+                used[s] += n
+                cost[s] += packing.LINEAR * n + packing.QUADRATIC * n * n
+        return out
+
+    rng = random.Random(18)
+    trials = [[rng.choice([1500, 1300, 800, 790, 560, 520, 480, 450, 130]) for _ in range(600)] for _ in range(10)] + [[rng.randrange(2048) for _ in range(700)] for _ in range(5)] + [[], [0], [5]]
+    for lengths in trials:
+        want, got = plain(lengths, 2048), packing.pack_rests(lengths, 2048)
+        assert {(i, s, at) for i, start, n, s, at in got if n == lengths[i]} >= want
+        assert sum(n for _, _, n, _, _ in got) == sum(lengths)
+
+
 def test_added_tokens_as_the_library_has_them():
     from tokenizers import Tokenizer
 
