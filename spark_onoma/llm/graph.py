@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             break
         was = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def local_roots(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest member of each of n places' component, within one task."""
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        for a, b in links:
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == old).all():
+            return root

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_onoma.llm.graph import components
+from spark_onoma.llm.graph import components, local_roots
 from spark_onoma.llm.scratch import Scratch
 from spark_onoma.llm.textops import U64, Words, chunks, grams, list_array, mix, shingle_sets, stream
 
@@ -17,13 +17,13 @@ HASHES = 168
 SKETCH_LONGS = 8
 #: A pair's signatures may differ by so many standard deviations more than the threshold expects.
 SLACK = 4.2
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
-#: Members up to which a bucket's open pairs are listed before they are confirmed; larger ones confirm as they join.
+#: Shingles (a member counts as ``MEMBER`` at least) on either side of a block of a bucket, which bounds a task's memory.
+VOLUME, MEMBER = 2_000_000, 1000
+#: Members up to which a bucket's open pairs are listed before they are confirmed; larger ones are counted in blocks.
 LISTED = 16
-#: Bits (as a power of two) of the filter of ids whose sets are made: 2 MB.
-FILTER_BITS = 24
-_COLUMNS = 256
+#: The filter of ids whose sets are made has 16 bits an id; more ids than this (8 MB) are joined with the texts instead.
+FILTER_IDS = 1 << 22
+_COLUMNS, _DENSE = 256, 2048
 
 
 def band_rows(percent: int) -> int:
@@ -74,23 +74,24 @@ def signer(words: int, percent: int):
     return sign, "id long, n_shingles long, print1 long, print2 long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ids in 2**FILTER_BITS bits, whatever their number; when overfull it lets more rows through."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of ids in 2**bits bits."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
     table = words.toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy()
     return out
 
 
-def set_maker(words: int, wanted):
+def set_maker(words: int, wanted=None):
     """A mapInArrow function: document id, filter place and text to the full set of shingle hashes of wanted ids."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spot = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((wanted.value[spot >> 6] >> (spot & 63)) & 1 == 1))
+            if wanted is not None:
+                spot = batch.column(1).to_numpy()
+                batch = batch.filter(pa.array((wanted.value[spot >> 6] >> (spot & 63)) & 1 == 1))
             for first, last, data, offsets in chunks(batch.column(2)):
                 sets = [x for _, x in shingle_sets(Words(data, offsets), words)]
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
@@ -100,15 +101,26 @@ def set_maker(words: int, wanted):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, items) of at least the given ids, from one pass over the texts that shuffles none."""
-    make, schema = set_maker(words, docs.sparkSession.sparkContext.broadcast(id_filter(ids)))
-    return docs.where("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("spot"), "text").mapInArrow(make, schema)
+    """(id, items) of at least the distinct given ids; where a filter of them is small, no text is shuffled."""
+    count = ids.count()
+    docs, wanted, bits = docs.where("id is not null"), None, 20
+    if count <= FILTER_IDS:
+        bits = max(bits, (16 * count).bit_length())
+        wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits))
+    else:
+        docs = docs.join(ids, "id", "left_semi")
+    make, schema = set_maker(words, wanted)
+    return docs.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("spot"), "text").mapInArrow(make, schema)
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
-    """Do two full sets reach the threshold?"""
-    both = F.size(F.array_intersect(x, y))
-    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+    """Do two full sets reach the threshold? Put so that the intersection is made once."""
+    return (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y))
+
+
+def _near_size(x: str, y: str, percent: int) -> Column:
+    """May two sets of these sizes reach the threshold?"""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
 def _unlike(a: str, b: str) -> Column:
@@ -132,14 +144,89 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scra
     return links
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another, as products of 0/1 matrices."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    both = np.zeros(int(column.max(initial=-1)) + 1, np.int8)
+    both[column[:cut]] = 1
+    both[column[cut:]] |= 2
+    number = np.cumsum(both == 3) - 1
+    total = int(number[-1]) + 1 if len(number) else 0
+    entries = []
+    for side, part in enumerate((column[:cut], column[cut:])):
+        row = np.repeat(np.arange(len(sizes[side])), sizes[side])
+        keep = both[part] == 3
+        row, part = row[keep], number[part[keep]]
+        order = np.argsort(part, kind="stable")
+        entries.append((row[order], part[order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, total, _DENSE):
+        width = min(_DENSE, total - k)
+        dense = []
+        for side, (row, part) in enumerate(entries):
+            a, b = np.searchsorted(part, [k, k + width])
+            dense.append(np.zeros((len(sizes[side]), width), np.float32))
+            dense[-1][row[a:b], part[a:b] - k] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _linker(percent: int):
+    """Members of a block of a bucket, those to be linked and all, to edges that join their parts."""
+
+    def link(table: pa.Table) -> pa.Table:
+        part, loose = table["part"].to_numpy(), table["loose"].to_numpy()
+        items = table["items"].combine_chunks()
+        flat, at = items.values.to_numpy(), items.offsets.to_numpy()
+        rows = [np.flatnonzero(loose), np.flatnonzero(~loose)]
+        if not len(rows[0]) or not len(rows[1]):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sides = [[flat[at[r] : at[r + 1]] for r in side] for side in rows]
+        sizes = [np.array([len(x) for x in side]) for side in sides]
+        x, y = np.nonzero((100 + percent) * shared_counts(*sides).astype(np.int64) >= percent * (sizes[0][:, None] + sizes[1][None, :]))
+        names, number = np.unique(part, return_inverse=True)
+        root = names[local_roots(len(names), [(number[rows[0][x]], number[rows[1][y]])])]
+        found = np.flatnonzero(root != names)
+        return pa.table({"a": names[found], "b": root[found]})
+
+    return link, "a long, b long"
+
+
+def _across_parts(many: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges that join the parts of buckets of any size: (bucket, id, part, n_shingles) to (a, b).
+
+    Members outside a bucket's largest part are counted against all its members, so the work is their number times the
+    bucket's, not its square. Both sides are dealt to blocks of bounded volume; a block sends back one edge a part at
+    most, never its pairs.
+    """
+    many = scratch.save(many)
+    weight = F.greatest("n_shingles", F.lit(MEMBER))
+    parts = many.groupBy("bucket", "part").agg(F.struct(F.count(F.lit(1)).alias("n"), F.col("part").alias("main"), F.sum(weight).alias("volume")).alias("own"))
+    plan = parts.groupBy("bucket").agg(F.max("own").alias("top"), F.sum("own.volume").alias("volume"))
+    blocks = lambda volume: F.ceil(volume / VOLUME).cast("int")
+    plan = plan.select("bucket", F.col("top.main").alias("main"), blocks(F.col("volume") - F.col("top.volume")).alias("rows"), blocks(F.col("volume")).alias("columns"))
+    sets = scratch.save(_sets(docs, many.select("id").distinct(), words))
+    dealt = many.join(plan, "bucket").withColumn("spot", F.xxhash64("id"))
+    line = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = dealt.where("part <> main").select("bucket", "id", "part", F.lit(True).alias("loose"), F.pmod("spot", "rows").cast("int").alias("i"), F.explode(line("columns")).alias("j"))
+    right = dealt.select("bucket", "id", "part", F.lit(False).alias("loose"), F.pmod(F.shiftright("spot", 20), "columns").cast("int").alias("j"), F.explode(line("rows")).alias("i"))
+    link, schema = _linker(percent)
+    found = scratch.save(left.unionByName(right).join(sets, "id").select("bucket", "i", "j", "part", "loose", "items").groupBy("bucket", "i", "j").applyInArrow(link, schema).distinct())
+    scratch.drop(many, sets)
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``. Equal sets are one class, so copies
     cost no pair. Classes meet in MinHash bands; each band bucket is first compared with its most central member only,
     sketches of 3 bits a hash screen the pairs, full sets confirm them, and large-star/small-star gives the components.
-    Buckets that still hold several components then have their members compared across components, each pair in the
-    first band it shares, in blocks that confirm pairs as they join, so no link is lost to a cap.
+    Buckets that still hold several components then have their members compared across components: in small buckets each
+    pair in the first band it shares, in larger ones everything outside the largest component with all members, in
+    blocks. So no link is lost to a cap.
 
     Null or empty text has no shingle and links with nothing; texts shorter than ``words`` count as one shingle; rows
     with a null id are returned unlinked (null component, kept). Rows that share an id are one node. Other columns of
@@ -155,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     node = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("node", "id"))
     members = scratch.save(signed.select("id", "n_shingles", "print1", "print2").join(classes, ["print1", "print2"], "left").select("id", "n_shingles", node.alias("node")))
     nodes = members.where("id = node").select("id").distinct()
-    heads = scratch.save(signed.where("n_shingles > 0").join(nodes, "id", "left_semi").drop("n_shingles", "print1", "print2").dropDuplicates(["id", "bands"]))
+    heads = scratch.save(signed.where("n_shingles > 0").join(nodes, "id", "left_semi").drop("print1", "print2").dropDuplicates(["id", "bands"]))
     scratch.drop(signed, classes)
 
     entries = heads.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "key").alias("bucket"))
@@ -163,36 +250,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = scratch.save(entries.join(sizes, "bucket"))
     rank = shared.groupBy("id").agg(F.sum("n").alias("rank"))
     centre = shared.join(rank, "id").groupBy("bucket").agg(F.max_by("id", F.col("rank") * 1024 + F.pmod(F.xxhash64("id"), F.lit(1024))).alias("centre"))
-    sketches = heads.select("id", F.struct(*(f"s{k}" for k in range(SKETCH_LONGS))).alias("sketch"))
+    sketches = heads.select("id", F.struct("n_shingles", *(f"s{k}" for k in range(SKETCH_LONGS))).alias("sketch"))
     limit = sketch_limit(percent)
 
     star = shared.join(centre, "bucket").where("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").where(_unlike("x", "y") <= limit).select("a", "b")
+    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").where(_near_size("x.n_shingles", "y.n_shingles", percent) & (_unlike("x", "y") <= limit)).select("a", "b")
     first = _confirmed(star, docs, words, percent, scratch)
     group = scratch.save(components(first, scratch))
 
     placed = scratch.save(shared.join(group.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("part")))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
     open_rows = placed.join(mixed, "bucket").join(heads, "id")
-    same_bucket = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & (_unlike("x", "y") <= limit)
+    same_bucket = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _near_size("x.n_shingles", "y.n_shingles", percent) & (_unlike("x", "y") <= limit)
     first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
     few = open_rows.where(F.col("n") <= LISTED)
     listed = few.alias("x").join(few.alias("y"), same_bucket & first_shared).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     second = _confirmed(listed, docs, words, percent, scratch)
 
-    many = scratch.save(open_rows.where(F.col("n") > LISTED))
-    sets = scratch.save(_sets(docs, many.select("id").distinct(), words))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many_sets = many.join(sets, "id")
-    left = many_sets.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("x")
-    right = many_sets.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-    third = scratch.save(left.join(right, (F.col("x.block") == F.col("y.block")) & same_bucket & first_shared & _alike("x.items", "y.items", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    scratch.drop(many, sets)
+    third = _across_parts(open_rows.where(F.col("n") > LISTED).select("bucket", "id", "part", "n_shingles"), docs, words, percent, scratch)
     merged = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(third), scratch)
 
     out = members.join(merged.withColumnRenamed("component", "root"), "node", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
-    scratch.drop(heads, shared, placed, group, first)
+    scratch.drop(heads, shared, placed, group, first, second, third)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_onoma.llm.graph import components
+from spark_onoma.llm.graph import components, local_roots
 from spark_onoma.llm.scratch import Scratch
 
 PROJECTIONS = 48
@@ -55,20 +55,6 @@ def collisions(queries: np.ndarray, points: np.ndarray, width: float) -> np.ndar
     return count
 
 
-def _roots(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest member of each of n places' component."""
-    root = np.arange(n)
-    while True:
-        old = root.copy()
-        for a, b in links:
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == old).all():
-            return root
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors of one label linked when their cosine reaches the threshold.
 
@@ -116,7 +102,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        root = order[_roots(len(ids), [(place[x], place[y]) for x, y in links])[place]]
+        root = order[local_roots(len(ids), [(place[x], place[y]) for x, y in links])[place]]
         found = np.flatnonzero(degree)
         return pa.table({"a": ids[found], "n": degree[found], "b": ids[root[found]]})
 

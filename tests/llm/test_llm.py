@@ -59,6 +59,46 @@ def test_near_duplicates_large_group(spark):
     assert [r["component_id"] for r in got] == root
 
 
+def chain(seed, n, size):
+    """Texts that change by two words from one to the next, so that they link along a chain, and their Jaccard classes."""
+    rng = random.Random(seed)
+    words, texts = [f"w{i}" for i in range(size)], []
+    for i in range(n):
+        texts.append(" ".join(words))
+        for k in rng.sample(range(size), rng.choice([2, 2, 12])):
+            words = [*words[:k], f"x{i}{k}", *words[k + 1 :]]
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(size - 2)} for t in texts]
+    root = list(range(n))
+    while True:
+        old = list(root)
+        for i, j in itertools.combinations(range(n), 2):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[i] = root[j] = min(root[i], root[j])
+        if root == old:
+            return texts, root
+
+
+@pytest.mark.parametrize("volume,member", [(2_000, 1), (300, 1)])
+def test_near_duplicates_past_every_block(spark, monkeypatch, volume, member):
+    """Buckets above the listed size, in one block and in many, and a filter of ids or a join with them."""
+    monkeypatch.setattr(near_dup, "VOLUME", volume)
+    monkeypatch.setattr(near_dup, "MEMBER", member)
+    monkeypatch.setattr(near_dup, "LISTED", 3)
+    monkeypatch.setattr(near_dup, "FILTER_IDS", volume // 100)
+    texts, root = chain(21, 70, 150)
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == root and len(set(root)) > 3
+
+
+def test_shared_counts_against_sets(monkeypatch):
+    monkeypatch.setattr(near_dup, "_DENSE", 16)
+    rng = np.random.default_rng(4)
+    sides = [[np.unique(rng.integers(-60, 60, rng.integers(0, 50))) for _ in range(n)] for n in (7, 11)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in sides[1]] for x in sides[0]]
+    assert near_dup.shared_counts(*sides).tolist() == want
+    assert near_dup.shared_counts(sides[0], []).shape == (7, 0) and near_dup.shared_counts([sides[0][0][:0]], [sides[0][0][:0]]).tolist() == [[0]]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (7, 7), (None, 3)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect())
