@@ -229,8 +229,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     blocks. So no link is lost to a cap.
 
     Null or empty text has no shingle and links with nothing; texts shorter than ``words`` count as one shingle; rows
-    with a null id are returned unlinked (null component, kept). Rows that share an id are one node. Other columns of
-    the input are not looked at, whatever their names.
+    with a null id are returned unlinked (null component, kept). Rows that share an id are one document, which links by
+    any of its texts; each row is returned, those without a word as linked with nothing. Other columns of the input are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
@@ -241,6 +241,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = scratch.save(signed.where("n_shingles > 0 and id is not null").groupBy("print1", "print2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     node = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("node", "id"))
     members = scratch.save(signed.select("id", "n_shingles", "print1", "print2").join(classes, ["print1", "print2"], "left").select("id", "n_shingles", node.alias("node")))
+    # A document with several texts joins the classes that they are in.
+    texts = members.where("node is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.collect_set("node").alias("nodes")).where("low < high")
+    twins = texts.select("id", F.explode(F.concat("nodes", F.array("id"))).alias("a"), F.col("low").alias("b")).where("a <> b").select("a", "b")
     nodes = members.where("id = node").select("id").distinct()
     heads = scratch.save(signed.where("n_shingles > 0").join(nodes, "id", "left_semi").drop("print1", "print2").dropDuplicates(["id", "bands"]))
     scratch.drop(signed, classes)
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     second = _confirmed(listed, docs, words, percent, scratch)
 
     third = _across_parts(open_rows.where(F.col("n") > LISTED).select("bucket", "id", "part", "n_shingles"), docs, words, percent, scratch)
-    merged = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(third), scratch)
+    merged = components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(third).unionByName(twins), scratch)
 
     out = members.join(merged.withColumnRenamed("component", "root"), "node", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("root", "node", "id").alias("component_id"))
@@ -276,7 +279,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id; documents without words or id all stay."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, texts: DataFrame | None = None) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest id; documents without words or id all stay.
+
+    ``texts`` (doc_id, text) may give the texts to compare, several to a document if need be; ids that are not in
+    ``docs`` may link others but are not counted as one that stays.
+    """
+    found = near_duplicates(docs if texts is None else texts, words, percent).where("doc_id is not null").select("doc_id", "component_id").distinct()
+    found = found.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi") if texts is not None else found
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("stays"))
+    gone = found.join(first, "component_id").where("doc_id <> stays").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

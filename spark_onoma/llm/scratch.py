@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: lineage ends there, so a lost executor costs no more than a reread."""
+    """Tables written to the shared folder: lineage ends there, so a lost executor costs no more than a reread. What is
+    not dropped before, since results read it, goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -32,6 +33,9 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         frame.write.parquet(path)
+        if self.count == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -115,6 +115,30 @@ def test_line_dedup_matches_sql(spark, docs):
     assert {r["doc_id"]: r["n_dropped"] for r in got.collect()}[10] == 1 and line_dedup.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_line_templates_generalise_fields(spark):
+    """Word-valued fields of two templates, a line of its own in the same leaf, and clashing or dotted column names."""
+    rows = [(i, f"user {n} logged in from host {h} today\nPosted by {n} in {h}\nuser of this house has one wide roof", n) for i, (n, h) in enumerate(zip("anna carl dora emil".split(), "red blue pink gray".split(), strict=True))]
+    rows.append((7, "user anna was never here at all, ever\nPosted on a wall somewhere", "x"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").selectExpr("*", "1 as __id", "2 as gone", "3 as N_DROPPED", "struct(4 as doc_id) as own")
+    out = line_dedup.drop_recurring_lines(frame)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["a.b"], r["__id"]) for r in out.collect()}
+    assert got == {0: (rows[0][1], 3, 0, "anna", 1), **{i: ("", 3, 3, rows[i][2], 1) for i in (1, 2, 3)}, 7: (rows[4][1], 2, 0, "x", 1)}
+    assert out.columns == ["doc_id", "text", "a.b", "__id", "gone", "own", "n_lines", "n_dropped"]
+    three = line_dedup.drop_recurring_lines(frame.where("doc_id < 2 or doc_id = 7"), min_docs=3).collect()
+    assert [r["n_dropped"] for r in three] == [0, 0, 0]
+
+
+def test_line_dedup_random_leaves_against_sql(spark):
+    """Few words in few leaves, so that supports tie and templates overlap."""
+    rng = random.Random(31)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9, 14]))) for _ in range(rng.randrange(30))), "en", "s", 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    want = con.sql(line_dedup.SQL)
+    assert sorted(map(tuple, line_dedup.drop_recurring_lines(frame).select(want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_line_stage_of_the_pipeline_takes_short_lines(spark):
     import corpus_pipeline
 
@@ -363,10 +387,26 @@ def test_toxicity(spark):
 
 
 def test_pipeline_on_a_fixture(spark, tmp_path):
+    """Near copies by whole lines, of which the line stage leaves scraps or nothing; a rejected text, a benchmark passage."""
     import corpus_pipeline
 
     base = [f"w{i}" for i in range(80)]
-    rows = [(0, " ".join(base), "en", "s", 0), (1, " ".join([*base[:79], "z"]), "en", "s", 0), (2, "12 34", None, "s", 0), (3, " ".join(f"t{i}" for i in range(30)), "en", "s", 0), (4, "clean words of its own stay here", "en", "s", 0)]
+    lines = "\n".join(" ".join(f"l{i}x{k}" for k in range(12)) for i in range(9))
+    texts = [" ".join(base), " ".join([*base[:79], "z"]), "12 34", " ".join(f"t{i}" for i in range(30)), "clean words of its own stay here", lines, lines + "\nwith one more line", lines]
+    rows = [(i, t, None if i == 2 else "en", "s", 0) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, " ".join(f"t{i}" for i in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert sorted({r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == [0, 4]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({r["doc_id"] for r in got}) == [0, 4, 5] and all(r["doc_tokens"] > 1 for r in got)
+
+
+def test_rows_of_one_id_link_by_any_text(spark):
+    words = [[f"{c}{i}" for i in range(40)] for c in "abcd"]
+    text = [" ".join(w) for w in words]
+    near = [" ".join([*w[:39], "end"]) for w in words]
+    rows = [(1, text[0]), (2, near[0]), (2, text[1]), (3, near[1]), (4, text[2]), (5, text[2]), (5, text[3]), (6, text[3]), (7, "of its own"), (8, ""), (8, near[2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(frame, 3, 85).where("n_shingles > 0").collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7), (8, 4)}
+    docs = spark.createDataFrame([(2, "x"), (3, "y"), (6, "z"), (7, "v"), (9, "w"), (None, "u")], "doc_id long, text string")
+    assert sorted(r["text"] for r in near_dup.keep_one(docs, 3, 85, texts=frame).collect()) == ["u", "v", "w", "x", "z"]
