@@ -25,13 +25,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines, of any number of words, whose template an earlier document has."""
-    return drop_recurring_lines(docs, min_tokens=1).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without lines whose template an earlier document has; those of which nothing is left so go."""
+    left = drop_recurring_lines(docs, min_tokens=1).where(F.col("text").rlike(r"\S") | (F.col("n_dropped") == 0))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one(docs).select(docs.columns)
+    """One document of each group of near duplicates, by its present text or by the one it came with.
+
+    The line stage leaves of a near copy only the lines that differ, so what is left of copies is not alike any more;
+    the texts of ``documents`` still are. Both texts of an id count as that document's.
+    """
+    came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return keep_one(docs, texts=docs.select("doc_id", "text").unionByName(came)).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again as the next one's input."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        came, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        if number:
+            scratch.drop(came)
     return STAGES[-1][1](spark, docs, sf_dir)
