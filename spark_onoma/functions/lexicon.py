@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 # Titles, and those of them that are names too.
-TITLES = frozenset("mr mrs ms miss mx dr doctor prof professor rev reverend fr father sr sister br brother hon honorable honourable judge justice sir dame lord lady capt captain col colonel gen general lt lieutenant maj major sgt sergeant cmdr commander adm admiral pvt engr er adv advocate shri sri smt kum thiru sheikh shaikh syed sayyid hafiz imam maulana md mohd pandit pt swami herr frau monsieur mme madame mlle senor senora don dona sra".split())
-AMBIGUOUS_TITLES = frozenset("sri shri syed sayyid sheikh shaikh hafiz imam md mohd don major judge justice lord general er kum dame".split())
+TITLES = frozenset("mr mrs ms miss mx dr doctor prof professor rev reverend fr father sr sister br brother hon honorable honourable judge justice sir dame lord lady capt captain col colonel gen general lt lieutenant maj major sgt sergeant cmdr commander adm admiral pvt engr er adv advocate shri sri smt kum thiru sheikh shaikh syed sayyid hafiz imam maulana pandit swami baba haji alhaji don dona sra srta herr frau monsieur madame mlle mme ing lic the".split())
+AMBIGUOUS_TITLES = frozenset("gen maj sr br don dona the sheikh shaikh syed sayyid sri shri baba er lord lady sister father imam".split())
 # Suffixes, those that are names or initials too, and generational ones with their canonical form.
-SUFFIXES = frozenset("jr jnr junior sr snr senior ii iii iv vi vii phd md mba bsc msc ba ma mphil esq esquire cpa dds dmd dvm rn jd llb llm do od pe pmp obe mbe cbe kbe qc kc ret retd".split())
-AMBIGUOUS_SUFFIXES = frozenset("md ma ba do pe od rn jd kc ret sr".split())
-GENERATIONS = {"jr": "jr", "jnr": "jr", "junior": "jr", "sr": "sr", "snr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv", "v": "v", "vi": "vi", "vii": "vii"}
+SUFFIXES = frozenset("jr jnr junior sr snr senior ii iii iv vi vii viii ix phd dphil md do dds dmd dvm jd llb llm esq esquire cpa mba msc bsc bs ba ma rn np pe pmp cfa ret retd usa usmc usn usaf".split())
+AMBIGUOUS_SUFFIXES = frozenset("md do ma ba bs np pe rn ii vi usa".split())
+GENERATIONS = {"jr": "jr", "jnr": "jr", "junior": "jr", "sr": "sr", "snr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv", "v": "v", "vi": "vi", "vii": "vii", "viii": "viii", "ix": "ix"}
 # Family-name particles, and those that bind only to a word of three letters or more.
-PARTICLES = frozenset("van von der den de del della di da dos das do du la le les los las el al ul bin ibn bint ben bar bat abu abd mac mc o san santa santo st saint ter ten te zu zum zur af av ap ni nic ka oz y e und op vande vander vonder".split())
+PARTICLES = frozenset("de del dela della delle dello degli dei di da das dos do du des la le les lo van von vander vanden ver ten ter den der het op aan af av zu zum zur el al abu abd bin ibn bint ben bar mac mc nic ni ap san santa santos st saint sainte ste ka te oz".split())
 WEAK_PARTICLES = frozenset("do la le el al ben bar ni te ka oz ap st san".split())
 
-# Common short forms by full name; a member of two groups links both only to itself.
+# Our own selection of common short forms by full name; a member of two groups links both only to itself.
 NICKNAMES = """
 robert bob rob bobby robbie|william will bill billy liam|richard rick dick rich|james jim jimmy jamie|john jack johnny|margaret peggy maggie meg greta
 elizabeth liz beth betty eliza lizzie|mary polly molly|ann nancy annie nan|nathan nate|nathaniel nate nat|katherine kate kathy katie kat|steven steve
@@ -33,21 +33,24 @@ TRANSLITERATIONS = "geetha geeta|mohammad mohammed muhammad mohamed|sergei serge
 ROMANISATIONS = "zhang chang|li lee|wang wong|chen chan|zhao chao|xu hsu|huang hwang|liu lau"
 STRENGTH = {"nickname": 0.9, "variant": 0.97, "translation": 0.55, "transliteration": 0.96, "romanisation": 0.62, "custom": 0.92}
 
-# Written short forms, names that are never cut from longer ones, and look-alikes that are different names.
-CONTRACTIONS = {"wm": ("william",), "chas": ("charles",), "geo": ("george",), "jas": ("james",), "jos": ("joseph",), "thos": ("thomas",), "robt": ("robert",), "benj": ("benjamin",), "danl": ("daniel",), "saml": ("samuel",), "edw": ("edward",), "mohd": ("mohammad", "mohammed", "muhammad", "mohamed"), "md": ("mohammad", "mohammed", "muhammad", "mohamed"), "muhd": ("muhammad",), "alex": ("alexander",), "fredk": ("frederick",), "jno": ("john",), "richd": ("richard",)}
-STANDALONE = frozenset("raj ram sam ben dan tom tim max leo ana ann eva ian kim lee may roy ray jay joy amy guy hal ira ivy lou mia ned pat rob ron sue ted val vic will jack kate nate dave mike nick alex anil dev om sai uma ravi jan mark carl bill emma anna sara".split())
+# Written short forms, and short names that are never cut from longer ones.
+_MOHAMMAD = ("mohammad", "muhammad", "mohammed")
+CONTRACTIONS = {"mohd": _MOHAMMAD, "muhd": _MOHAMMAD, "mhd": _MOHAMMAD, "md": _MOHAMMAD, "wm": ("william",), "robt": ("robert",), "richd": ("richard",), "jno": ("john",), "jas": ("james",), "jos": ("joseph",), "geo": ("george",), "thos": ("thomas",), "chas": ("charles",), "benj": ("benjamin",), "danl": ("daniel",), "edwd": ("edward",), "saml": ("samuel",), "alexr": ("alexander",), "eliz": ("elizabeth",), "marg": ("margaret",), "kath": ("katherine", "catherine"), "xtopher": ("christopher",), "xpher": ("christopher",)}
+STANDALONE = frozenset("raj ram ravi ali ana anna jan sam max ben dan don ron tom tim jim joe ken leo lee roy ray rex guy ian eve amy joy kim kai omar noor rani devi mina gita asha usha lata nina rita sita maya mark marc paul carl karl erik eric alan adam noah liam luca hugo juan jose luis ivan igor oleg boris pablo diego chen wang li lin park han jin yan ann anne jane john jon ted bob rob bill will nick rick mike dave greg jeff todd chad kyle sean ryan dean glen neil earl gary jerry larry barry harry terry perry kerry amit ajay arun anil atul ashok vinod vijay sunil".split())
+
+# Our own selection of look-alikes that are different names.
 DISTINCT_PAIRS = """
 michael michelle|wei li|zhang chang|john jean|jose josef|andrea andrew|amit ajit|raj rajesh|eric erica|daniel danielle|paul paula
-carol carl|brian ryan|erin eric|maria mario|julia julian|christine christian|robert roberta|martin martina|karen karan|anita amita|sunil sushil|rohan rohit
+carol carl|brian ryan|erin eric|maria mario|julia julian|christine christian|robert roberta|martin martina|karen karan|anita amita|sunil sushil|rohan rohit|gabriel gabrielle|nicholas nicole|patrick patricia|stephen stephanie|christopher christina|adrian adriana|simon simone|carl carla|joan jean|jon jan|christian christina|louis louise|henry henrietta|george georgia|victor victoria|francis frances|marc marco|alex alexa
 aarav arnav|kamal kamala|rajesh rakesh|ramesh suresh|mahesh mukesh|dinesh ganesh|lisa luisa|joan john|dan ian|jane jan|tina gina|mona nona|sam pam|amit sumit
 """
-# Common given and family names; the first few of each count as very common.
-GIVEN = "john james robert michael william david mary mohammad maria anna ram raj jose wei richard joseph thomas charles daniel matthew anthony mark steven paul andrew peter patrick george kenneth edward brian kevin jason eric stephen larry justin scott brandon benjamin samuel frank gregory raymond alexander jack dennis jerry tyler aaron henry adam douglas nathan zachary kyle walter patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca laura sharon cynthia kathleen amy angela shirley brenda pamela nicole katherine samantha christine emma catherine virginia rachel janet carolyn polly peggy kate nate rahul amit priya rajesh suresh ramesh sunita deepak deepika anil vijay sanjay geetha lakshmi mohan krishna abdul ahmed ali hassan omar jean pierre marie luis carlos juan ana sofia jan hans karl ivan olga anup rajiv riya satyendra ajay mahendra sagar".split()
+# Our own selection of common given and family names; the first few of each count as very common.
+GIVEN = "john james robert michael william david mary mohammad maria anna ram raj jose wei richard joseph thomas charles daniel matthew anthony mark steven paul andrew peter patrick george kenneth edward brian kevin jason eric stephen larry justin scott brandon benjamin samuel frank gregory raymond alexander jack dennis jerry tyler aaron henry adam douglas nathan zachary kyle walter patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca laura sharon cynthia kathleen amy angela shirley brenda pamela nicole katherine samantha christine emma catherine virginia rachel erik carlos luis juan pedro miguel sofia lucia elena olga ivan sergei dmitry natalia tatiana hans peter klaus fritz heinrich karl greta ingrid lars sven bjorn giovanni marco luca paolo francesca giulia chiara pierre jean jacques francois claude camille chloe manon amelie priya anjali deepak sunil anil vijay sanjay ravi suresh ramesh mahesh rajesh rakesh amit rohit rahul neha pooja sunita geeta lakshmi krishna arjun vikram ali omar hassan hussain ahmed fatima aisha khalid yusuf ibrahim ming fang li jun lei yan hiroshi kenji yuki akira janet carolyn polly peggy kate nate rahul amit priya rajesh suresh ramesh sunita deepak deepika anil vijay sanjay geetha lakshmi mohan krishna abdul ahmed ali hassan omar jean pierre marie luis carlos juan ana sofia jan hans karl ivan olga anup rajiv riya satyendra ajay mahendra sagar".split()
 FAMILY = "smith kumar singh lee wang khan johnson garcia nguyen patel williams brown jones miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson thomas taylor moore jackson martin perez thompson white harris sanchez clark ramirez lewis robinson walker young allen king wright scott torres hill flores green adams nelson baker hall rivera campbell mitchell carter roberts sharma verma gupta shah yadav reddy iyer menon nair das devi rahman hussain ahmed ali li zhang chen liu yang huang zhao wu zhou xu sun ma chang brooks foster rogers sah".split()
 VERY_COMMON = 16
 
 # Letters that canonical decomposition leaves whole, and their spelling.
-ATOMIC_LETTERS = {"ß": "ss", "ẞ": "SS", "ø": "o", "Ø": "O", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T", "ĸ": "k", "ſ": "s", "ƒ": "f"}
+ATOMIC_LETTERS = {"ß": "ss", "ẞ": "SS", "ø": "o", "Ø": "O", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ħ": "h", "Ħ": "H", "ı": "i", "İ": "I", "ŉ": "n", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T", "ĸ": "k", "ſ": "s", "ƒ": "f", "ǅ": "dz", "ǆ": "dz", "ǳ": "dz", "ǈ": "lj", "ǉ": "lj", "ǋ": "nj", "ǌ": "nj"}
 
 # Romanisation by letter.
 CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya i yi ye g".split(" "), strict=True))

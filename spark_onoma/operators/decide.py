@@ -34,7 +34,7 @@ def confidence_of(score: Column) -> Column:
 
 
 def band_of(score: Column) -> Column:
-    return _steps(score, [(95, "near-identical"), (85, "very-strong"), (70, "strong"), (50, "moderate"), (30, "weak")], "very-weak")
+    return _steps(score, [(95, "extremely-strong"), (85, "strong"), (70, "likely"), (50, "possible"), (30, "weak")], "very-weak")
 
 
 def probability_of(s: Column, slope: float = SLOPE, intercept: float = INTERCEPT) -> Column:

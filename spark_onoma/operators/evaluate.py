@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_onoma.functions.scoring import WEIGHTS
+from spark_onoma.functions.scoring import MODES, WEIGHTS
 from spark_onoma.operators.decide import PRIOR, score_features
 
 
@@ -48,11 +48,12 @@ def area_under_roc(scored: DataFrame) -> DataFrame:
     return sums.select(F.when((p == 0) | (q == 0) | p.isNull(), 0.5).otherwise((F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc"))
 
 
-def worst_cases(scored: DataFrame, threshold: int, limit: int = 20) -> DataFrame:
-    """Wrong decisions: false positives from the highest score, then false negatives from the lowest."""
+def worst_cases(scored: DataFrame, threshold: int, limit: int | None = 20) -> DataFrame:
+    """Wrong decisions: false positives from the highest score, then false negatives from the lowest; all without a limit."""
     hit, match = F.col("score") >= threshold, F.col("expected") == "match"
     wrong = scored.where(hit != match).withColumn("kind", F.when(hit, "fp").otherwise("fn"))
-    return wrong.orderBy(F.desc("kind"), F.when(hit, -F.col("score")).otherwise(F.col("score")), "a", "b").limit(limit)
+    found = wrong.orderBy(F.desc("kind"), F.when(hit, -F.col("score")).otherwise(F.col("score")), "a", "b")
+    return found if limit is None else found.limit(limit)
 
 
 def dedupe_pairs(pairs: DataFrame, order: str) -> DataFrame:
@@ -90,10 +91,13 @@ def fit_calibration(samples: DataFrame, iterations: int = 4000, rate: float = 0.
 def train_logistic(samples: DataFrame, iterations: int = 300, rate: float = 0.6, l2: float = 0.002, negative_weight: float = 1.4) -> tuple[list[float], float]:
     """(coefficients, intercept) by batch gradient descent over ``x array<double>, label``.
 
-    Each step is one aggregation over the cached samples, so rows never leave the executors.
+    Each step is one aggregation over the cached samples, so rows never leave the executors. An empty table gives no coefficient.
     """
     samples = samples.select("x", F.col("label").cast("double").alias("y"), F.when(F.col("label") > 0, 1.0).otherwise(negative_weight).alias("w")).cache()
-    size, total = samples.select(F.size("x")).first()[0], samples.agg(F.sum("w")).first()[0]
+    size, total = samples.agg(F.max(F.size("x")), F.sum("w")).first()
+    if not size:
+        samples.unpersist()
+        return [], 0.0
     weights, bias = np.zeros(size), 0.0
     for _ in range(iterations):
         z = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in weights]), lambda p, q: p * q), F.lit(float(bias)), lambda s, v: s + v)
@@ -105,24 +109,37 @@ def train_logistic(samples: DataFrame, iterations: int = 300, rate: float = 0.6,
     return [float(v) for v in weights], float(bias)
 
 
-def tune_weights(features: DataFrame, threshold: int = 75, factors=(0.5, 0.7, 0.85, 1.2, 1.5, 2.0), rounds: int = 1) -> dict[str, float]:
-    """Coordinate ascent of the F1 of ``expected`` over the heuristic's weights; a candidate is one aggregation."""
+def tune_weights(features: DataFrame, modes: dict[str, tuple[int, float]] = MODES, factors=(0.5, 0.7, 0.85, 1.2, 1.5, 2.0), rounds: int = 1) -> dict[str, float]:
+    """Coordinate ascent of the mean F1 of ``expected`` over all modes, ties by the AUC, over the heuristic's weights."""
     features = features.cache()
-
-    def quality(w: dict[str, float]) -> float:
-        return metrics(score_features(features, w), threshold).first()["f1"]
-
-    best, at = dict(WEIGHTS), quality(WEIGHTS)
+    best, at = dict(WEIGHTS), mode_quality(features, WEIGHTS, modes)
     for _ in range(rounds):
         for k in WEIGHTS:
             for factor in factors:
                 trial = best | {k: best[k] * factor}
-                if (q := quality(trial)) > at:
+                if adopt(at, q := mode_quality(features, trial, modes)):
                     best, at = trial, q
     features.unpersist()
     return best
 
 
+def build_report(scored: DataFrame, threshold: int, cases: int = 20) -> dict[str, DataFrame]:
+    """The parts of a report by name: overall, by category, every threshold, the best one, the AUC and the worst cases."""
+    by = metrics(scored, threshold, "category")
+    return {"overall": by.where("category is null").drop("category"), "by_category": by.where("category is not null"), "thresholds": sweep_thresholds(scored), "best": best_threshold(scored), "auc": area_under_roc(scored), "worst": worst_cases(scored, threshold, cases)}
+
+
+def mode_quality(features: DataFrame, weights: dict[str, float], modes: dict[str, tuple[int, float]]) -> tuple[float, float]:
+    """(mean F1 over the modes at their thresholds and sensitivities, AUC at the plain sensitivity)."""
+    f1 = [metrics(score_features(features, weights, sensitivity), threshold).first()["f1"] for threshold, sensitivity in modes.values()]
+    return sum(f1) / len(f1), area_under_roc(score_features(features, weights)).first()["auc"]
+
+
+def adopt(now: tuple[float, float], trial: tuple[float, float], margin: float = 1e-4) -> bool:
+    """Is a trial's (F1, AUC) better by the margin in F1, or equal to it and better in AUC?"""
+    return trial[0] > now[0] + margin or abs(trial[0] - now[0]) <= margin and trial[1] > now[1] + 1e-9
+
+
 def bigram_dice(a: str, b: str) -> Column:
     """Dice of the sets of letter pairs."""
     def pairs(x: str) -> Column:

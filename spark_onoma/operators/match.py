@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spark_onoma.functions import names as nm
 from spark_onoma.functions import scoring as sc
@@ -33,21 +34,34 @@ def _fields(record) -> dict:
     return {k: list(v) if isinstance(v, tuple) else v for k, v in record.__dict__.items()}
 
 
+#: Results that a task remembers at most.
+MEMO = 1 << 16
+
+
 def _once(frame: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
-    """``work`` once per distinct value of the columns, joined back null-safely."""
-    keys = frame.select(*columns).distinct()
-    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    kinds = T.StructType([*keys.schema.fields, *out.fields])
+    """``work`` over the columns in one pass without a shuffle; a task remembers the results of values it has seen.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Other columns pass through untouched; those of an added name are replaced.
+    """
+    out = T._parse_datatype_string(schema)
+    frame = frame.select(*[F.col(f"`{c}`") for c in frame.columns if c not in out.names])
+    places = [frame.columns.index(c) for c in columns]
+    kinds = T.StructType([*frame.schema.fields, *out.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [f.type for f in to_arrow_schema(out)]
+        memo: dict[tuple, tuple] = {}
         for batch in batches:
-            rows = [work(*(None if pd.isna(v) else v for v in r)) for r in batch.itertuples(index=False)]
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=out.names)], axis=1)
+            if len(memo) > MEMO:
+                memo.clear()
+            rows = []
+            for key in zip(*(batch.column(k).to_pylist() for k in places), strict=True):
+                if key not in memo:
+                    memo[key] = work(*key)
+                rows.append(memo[key])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=kinds.names)
 
-    done = keys.mapInPandas(run, kinds)
-    on = [frame[c].eqNullSafe(done[c]) for c in columns]
-    joined = frame.join(done, on[0] if len(on) == 1 else on[0] & on[1], "left")
-    return joined.select(*[frame[c] for c in frame.columns], *[done[c] for c in out.names])
+    return frame.mapInArrow(run, kinds)
 
 
 def normalize_names(frame: DataFrame, column: str, options: nm.NormalizeOptions = nm.NormalizeOptions(), to: str = "readings") -> DataFrame:
@@ -67,8 +81,8 @@ def _pair_frame(pairs: DataFrame, a: str, b: str, schema: str, work) -> DataFram
 def match_names(pairs: DataFrame, a: str = "a", b: str = "b", options: sc.MatchOptions = sc.MatchOptions()) -> DataFrame:
     """Adds ``score, matched, confidence`` (and with ``detailed`` band, probability, features, parts, evidence).
 
-    Each distinct pair is scored once. Pairs that are equal as written skip the kernel unless details or a slow path
-    are asked for. Null names count as empty; two empty names score 100, one empty name scores 1.
+    Pairs are scored in one pass where they lie. Pairs that are equal as written skip the kernel unless details or a slow
+    path are asked for. Null names count as empty; two empty names score 100, one empty name scores 1.
     """
     if options.detailed:
         return _detailed(pairs, a, b, options)
@@ -76,15 +90,14 @@ def match_names(pairs: DataFrame, a: str = "a", b: str = "b", options: sc.MatchO
     def work(x, y):
         r = resolved(options)
         if options.fast_path:
+            if x is not None and x == y and any("a" <= c.lower() <= "z" for c in x):
+                return (1.0,)
             p, q = nm.normalize(x, options.normalize), nm.normalize(y, options.normalize)
             if p.normalized and (p.normalized, p.titles, p.suffixes) == (q.normalized, q.titles, q.suffixes):
                 return (1.0,)
         return (sc.best_evaluation(x, y, r)[0],)
 
-    same = F.coalesce((F.col(a) == F.col(b)) & F.rlike(F.col(a), F.lit("[A-Za-z]")), F.lit(False)) if options.fast_path else F.lit(False)
-    quick = pairs.where(same).withColumn("similarity", F.lit(1.0))
-    scored = quick.unionByName(_pair_frame(pairs.where(~same), a, b, "struct<similarity:double>", work))
-    return _decide(scored, options)
+    return _decide(_pair_frame(pairs, a, b, "struct<similarity:double>", work), options)
 
 
 def _decide(scored: DataFrame, options: sc.MatchOptions) -> DataFrame:

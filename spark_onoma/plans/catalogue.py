@@ -131,7 +131,7 @@ def match_names_fast_path(spark, sf_dir):
     return match.match_names(c).select("a", "b", "score", "matched", "confidence")
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT a, b, true AS kept FROM pairs")
 def score_by_mode_monotone(spark, sf_dir):
     """A stricter mode never scores a pair higher: true for every pair."""
     p = _name_pairs(spark, sf_dir)
@@ -381,11 +381,11 @@ def score_features(spark, sf_dir):
     return decide.score_features(f).select("l_orderkey", "l_linenumber", F.round(F.col("similarity") + 3e-10, 8).alias("similarity"))
 
 
-@query("WITH s AS (SELECT o_orderkey, (o_orderkey % 1001) / 1000.0 AS s FROM orders), t AS (SELECT o_orderkey, s, CAST(floor(1 + 99 * s + 0.5) AS INTEGER) AS score FROM s) SELECT o_orderkey, score, CASE WHEN score >= 85 THEN 'very-high' WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'very-low' END AS confidence, round((score - 1) / 99.0, 9) AS back, round(least(1 - 1e-9, greatest(1e-9, 1 / (1 + exp(-(17.727131 * s - 12.778914))))), 8) AS probability FROM t")
+@query("WITH s AS (SELECT o_orderkey, (o_orderkey % 1001) / 1000.0 AS s FROM orders), t AS (SELECT o_orderkey, s, CAST(floor(1 + 99 * s + 0.5) AS INTEGER) AS score FROM s) SELECT o_orderkey, score, CASE WHEN score >= 85 THEN 'very-high' WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'very-low' END AS confidence, CASE WHEN score >= 95 THEN 'extremely-strong' WHEN score >= 85 THEN 'strong' WHEN score >= 70 THEN 'likely' WHEN score >= 50 THEN 'possible' WHEN score >= 30 THEN 'weak' ELSE 'very-weak' END AS band, round((score - 1) / 99.0, 9) AS back, round(least(1 - 1e-9, greatest(1e-9, 1 / (1 + exp(-(17.727131 * s - 12.778914))))), 8) AS probability FROM t")
 def score_map(spark, sf_dir):
     o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1001 / 1000.0).alias("s"))
     o = o.withColumn("score", decide.to_score(F.col("s")))
-    return o.select("o_orderkey", "score", decide.confidence_of(F.col("score")).alias("confidence"), F.round(decide.from_score(F.col("score")), 9).alias("back"), F.round(decide.probability_of(F.col("s")), 8).alias("probability"))
+    return o.select("o_orderkey", "score", decide.confidence_of(F.col("score")).alias("confidence"), decide.band_of(F.col("score")).alias("band"), F.round(decide.from_score(F.col("score")), 9).alias("back"), F.round(decide.probability_of(F.col("s")), 8).alias("probability"))
 
 
 # Evaluation
@@ -419,7 +419,7 @@ def area_under_roc(spark, sf_dir):
 
 @query(f"WITH {_SCORED} SELECT o_orderkey, score, CASE WHEN score >= 75 THEN 'fp' ELSE 'fn' END AS kind FROM scored WHERE (score >= 75) <> (expected = 'match') ORDER BY kind DESC, CASE WHEN score >= 75 THEN -score ELSE score END, a, b, o_orderkey LIMIT 1000000000")
 def worst_cases(spark, sf_dir):
-    return evaluate.worst_cases(_scored(spark, sf_dir), 75, 1_000_000_000).select("o_orderkey", "score", "kind")
+    return evaluate.worst_cases(_scored(spark, sf_dir), 75, None).select("o_orderkey", "score", "kind")
 
 
 @query(f"WITH {_SCORED} SELECT o_orderkey, a, b FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY o_orderkey) AS k FROM scored) WHERE k = 1")
@@ -460,7 +460,7 @@ def bigram_dice(spark, sf_dir):
 
 @query()
 def blocking_join(spark, sf_dir):
-    """Candidate pairs of part names with supplier names by shared keys, scored."""
+    """Candidate pairs of part names with each other by shared keys, scored."""
     n = _part_names(spark, sf_dir)
     x, y = n.select(F.col("name").alias("x"), F.col("name").alias("xn")), n.select(F.col("name").alias("y"), F.col("name").alias("yn"))
     pairs = match.candidate_pairs(x, y, "x", "y", "xn", "yn").where("xn < yn")
