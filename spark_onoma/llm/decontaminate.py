@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_onoma.llm.textops import PLACE_CODE, U64, Words, buffers, chunks, mix
+from spark_onoma.llm.textops import PLACE_CODE, U64, Words, buffers, chunks, map_whole, mix
 
 # Fixed masks: a 1 is a word that must agree, a 0 one that may differ. A window of 26 words or more with the needed share
 # has a shorter one with it, and in every window of 13 to 25 words these two meet, wherever its differing words stand.
@@ -156,7 +156,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items of 1 to 12 words are searched whole: up to 4 words all must agree, of 5 to 9 one may differ, of 10 to 12 two.
     An item of a word or two so meets every text that has them; whoever does not want that leaves such items out.
     The benchmark is the query set: it goes over all documents in blocks of bounded size, and no document is shuffled.
-    Null or empty texts have no overlap; repeated documents are reported each.
+    Null or empty texts have no overlap; rows that share an id are searched each and reported under that id, null ids too.
+    An empty table on either side gives no row; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     out = None
@@ -199,5 +200,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(stay, docs.schema)
+        docs = map_whole(docs, stay, docs.schema)
     return docs

@@ -25,6 +25,8 @@ RAW = frozenset("script style textarea title noscript template svg iframe select
 BOILER = frozenset("nav footer aside form menu dialog head".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 LABELS = frozenset("nav navbar navigation menu header masthead footer sidebar ad ads advert adverts advertisement promo sponsored banner cookie cookies consent notice alert comment comments respond share sharing social related newsletter subscribe breadcrumb breadcrumbs widget modal popup login signup search pagination".split())
+#: Words that may stand beside a label in a class or id; beside any other word a label does not count (social-science).
+PLACES = frozenset("site page post article entry main top bottom left right upper lower first last side bar box list item items wrap wrapper container content section block area panel inner outer links link icons icon buttons button bar row col column slot unit area text title form field message popup global primary secondary footer header js no is has the a 1 2 3 4 5 6 7 8 9 0".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
@@ -32,6 +34,12 @@ _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _WORD = re.compile(r"[^\s_-]+")
 
 
+def _labelled(token: str) -> bool:
+    """Does a class or id name boilerplate? Some part of it is a label and no part says otherwise."""
+    parts = _WORD.findall(token)
+    return any(w in LABELS for w in parts) and all(w in LABELS or w in PLACES for w in parts)
+
+
 def _excluded(name: str, attributes: str, inside: bool) -> bool:
     """Does an element hold boilerplate by its name, role, class or id? ``inside``: it stands in the article."""
     if name in BOILER or name == "header" and not inside:
@@ -41,7 +49,7 @@ def _excluded(name: str, attributes: str, inside: bool) -> bool:
         if m[1].lower() == "role":
             if value in ROLES:
                 return True
-        elif name not in ("article", "main", "body", "html") and any(w in LABELS for w in _WORD.findall(value)):
+        elif name not in ("article", "main", "body", "html") and any(_labelled(w) for w in value.split()):
             return True
     return False
 
@@ -89,7 +97,10 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        bad = bad or _excluded(name, attributes, inside)
+        if not bad and _excluded(name, attributes, inside):
+            # An element that nothing closes would hide all that follows.
+            lower = page.lower() if lower is None else lower
+            bad = (lower if len(lower) == len(page) else page).find(f"</{name}", at) >= 0
         if not bad and (name in ("article", "main") or 'role="main"' in attributes):
             inside = found = True
         stack.append((name, bad, inside))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_onoma.llm.textops import U64, chunks, list_array
+from spark_onoma.llm.textops import U64, chunks, list_array, map_whole
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -137,7 +137,8 @@ def fit_languages(docs: DataFrame, train_rows=None, per_language: int = PER_LANG
     """Fit on labelled rows (``train_rows``: a filter on doc_id, text and lang).
 
     Document frequencies cover every labelled row; weights are fitted on at most ``per_language`` documents of each
-    language, those with the lowest hash of their id.
+    language, those with the lowest hash of their id. A fifth of these sets the temperature; with fewer than 50 rows in
+    all it is set on the training rows, so the score is then too sure. Rows with a null id tell frequencies only.
     """
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     known = known if train_rows is None else known.where(train_rows)
@@ -179,9 +180,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with ``lang_pred`` and ``score`` (calibrated probability) added, predicted from whole texts.
 
     Null text or text without a letter: ``und`` with score 0. All input columns pass through; columns of those two
-    names are replaced. An empty table gives no row.
+    names, in any case, are replaced. An empty table gives no row. A model of one language gives it to every text with
+    probability 1; rows that share an id are predicted each by their own text.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    own = [F.col(f"`{c}`") for c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index("text")
 
@@ -194,5 +197,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     names[row], scores[row] = model.predict(found, count)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.select(*keep).mapInArrow(run, schema)
+    schema = docs.select(*own, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return map_whole(docs.select(*own), run, schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spark_onoma.llm.scratch import Scratch
 from spark_onoma.llm.textops import U64, Words, chunks, mix
 
 RUN = 3
@@ -136,6 +137,8 @@ def drop_repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WO
     find, schema = _spans(run, min_words)
     spans = docs.where("id is not null").mapInArrow(find, schema)
     firsts = spans.groupBy("span").agg(F.min("id").alias("first_doc"), F.max("id").alias("last_doc")).where("first_doc < last_doc").select("span", "first_doc")
+    # Written, so that the join back has exchanges of its own and the partition of a very common span can be split.
+    firsts = Scratch(docs.sparkSession, "spans").save(firsts)
     later = spans.join(firsts, "span").where("id > first_doc")
     marks = later.groupBy(F.col("id").alias("mark_id")).agg(F.collect_set(F.struct("unit", "size")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_doc_ids"))
     cut, kinds = _cutter(run, min_words)

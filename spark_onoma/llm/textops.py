@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 #: Bytes of text that are worked on at a time, and so what bounds a worker's memory.
@@ -147,3 +148,8 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def map_whole(frame: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` over all columns by place, as names with dots cannot be looked up."""
+    return frame.toDF(*(f"c{k}" for k in range(len(frame.columns)))).mapInArrow(work, schema)

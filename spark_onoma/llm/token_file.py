@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
     run, schema = _tokens(tokenizer or default_tokenizer(), end_id)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     make, kinds = _shards(shard_ids)
     rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema).mapInArrow(make, kinds).write.parquet(path)
 

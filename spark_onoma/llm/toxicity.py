@@ -130,7 +130,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows=None, max_labell
 
     Words, word beginnings and patterns that are precise for the label become voters; a generative label model weighs
     them by accuracy and correlation; a linear classifier is trained on its posterior labels. Rows of ``labels`` with
-    a null id or label are left out; of repeated ids the highest label counts.
+    a null id or label are left out; of repeated ids the highest label counts. ``MAX_VOTERS`` bounds the voters that are
+    fitted, found on those labelled rows alone; scoring looks at every word of every text.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known if train_rows is None else known.where(train_rows)

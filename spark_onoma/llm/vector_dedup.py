@@ -64,7 +64,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link with
     nothing and are returned; vectors of other lengths are never compared. Rows that share an id do not link with each
-    other and share their result. An empty table gives no row; other columns are ignored.
+    other; their links are added up and each row has the sum. An empty table gives no row; other columns are ignored. Cosines are compared as they
+    are rounded in double precision, so a pair exactly at the threshold may fall on either side of it.
     """
     scratch = Scratch(vectors.sparkSession, "near-vectors")
     width, need = calibrated(cosine)

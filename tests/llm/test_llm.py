@@ -410,3 +410,60 @@ def test_rows_of_one_id_link_by_any_text(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7), (8, 4)}
     docs = spark.createDataFrame([(2, "x"), (3, "y"), (6, "z"), (7, "v"), (9, "w"), (None, "u")], "doc_id long, text string")
     assert sorted(r["text"] for r in near_dup.keep_one(docs, 3, 85, texts=frame).collect()) == ["u", "v", "w", "x", "z"]
+
+
+CLASHES = "id ID2 spans first_doc_ids mark_id gone marked own kept component_id n_shingles band bands bucket part held_out LANG_PRED Score item_ids n_items N_LINES width raw toxic feature spot row host side".split()
+
+
+@pytest.fixture
+def rough(spark, docs):
+    """The awkward documents with columns whose names operators use, upper-case and dotted ones too, and no row at all."""
+    wide = docs.selectExpr("*", *[f"'x' AS `{c}`" for c in CLASHES], "1 AS `a.b`")
+    return wide, wide.limit(0)
+
+
+def test_document_operators_take_any_columns_and_rows(spark, rough, tmp_path):
+    labels = spark.createDataFrame([(0, 0, 1), (3, 1, 1), (9, 0, 1), (None, 1, 1), (5, None, 1)], "doc_id long, toxic int, pos int")
+    bench = spark.createDataFrame([(0, "a b c d e f g", 1), (None, "x", 2), (2, None, 3), (0, "a b c d e f g", 1)], "item_id long, text string, doc_id long")
+    for frame, rows in zip(rough, (13, 0), strict=True):
+        model = language.fit_languages(frame)
+        found = {
+            "line": line_dedup.drop_recurring_lines(frame), "span": span_dedup.drop_repeated_spans(frame), "near": near_dup.near_duplicates(frame), "file": token_file.token_digest(frame), "language": language.identify(frame, model),
+            "leak": decontaminate.flag_contaminated(frame, bench), "no leak": decontaminate.flag_contaminated(frame, bench.limit(0)), "toxic": toxicity.score_toxicity(frame, toxicity.fit_toxicity(frame, labels)),
+        }
+        for name, out in found.items():
+            out.write.parquet(str(tmp_path / f"{name}{rows}"))
+            got = spark.read.parquet(str(tmp_path / f"{name}{rows}"))
+            assert got.count() == rows + 4 * (name in ("leak", "no leak") and rows and 0), name
+        assert decontaminate.drop_contaminated(frame, bench).count() == max(0, rows - 1) and near_dup.keep_one(frame).count() == max(0, rows - 2)
+        pieces = packing.packed_sequences(frame).collect()
+        assert len({r["doc_id"] for r in pieces}) == (12 if rows else 0)
+
+
+def test_vectors_and_pages_take_any_columns_and_rows(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 0, "x"), (1, [1.0, 0.0], 0, "x"), (2, [1.0, 0.01], 0, "x"), (None, [1.0, 0.0], 0, "x"), (3, [], 0, "x"), (4, [1.0], 0, "x"), (5, [float("inf"), 1.0], 0, "x"), (6, [1e300, 1e300], 0, "x"), (7, [1e-300, 1e-300], 0, "x")], "vec_id long, embedding array<double>, label int, id string").selectExpr("*", "1 AS dims", "2 AS own", "3 AS `a.b`", "4 AS N_LINKS")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_vectors(vectors).collect())
+    assert got == [(0, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (7, 1, 6, False)]
+    assert vector_dedup.near_vectors(vectors.limit(0)).count() == 0
+    long = "<article>" + "word &amp; " * 200_000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>"), (1, "http://a/1", "<p>x</p>"), (None, None, "<div>y</div>"), (2, "nonsense", None), (3, "http://a/2", ""), (4, "http://a/3", long)], "page_id long, url string, html string").selectExpr("*", "1 AS row", "2 AS host", "3 AS text", "4 AS `a.b`", "5 AS N_CHARS")
+    got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html_text.main_text(pages).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0), (4, 7 * 200_000 - 1)] and html_text.main_text(pages.limit(0)).count() == 0
+
+
+def test_vectors_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((30, 24))
+    v = np.concatenate([base + s * rng.standard_normal((30, 24)) for s in (0, 0.1, 0.2, 0.3)])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & ~np.eye(120, dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(spark.createDataFrame([(i, [float(x) for x in row], 1) for i, row in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    missed = link.sum() - sum(got.values())
+    assert all(got[i] <= link[i].sum() for i in range(120)) and missed <= 0.02 * link.sum()
+
+
+def test_html_labels_and_open_elements():
+    page = '<article><p class="social-science">a</p><p id="notice-board">b</p><div class="share-buttons">no</div><div class="comment_list x">no</div><form>c<p>d</p></article>'
+    assert html_text.blocks(page)[0] == ["a", "b", "c", "d"]
+    assert html_text.blocks("<article>a<form>no</form>b</article>")[0] == ["a", "b"]
