@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spark_onoma.llm.decontaminate import drop_contaminated
@@ -18,16 +18,20 @@ LEAST_SCORE = 0.3
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model can tell; it learns from those with a lang whose crc32 remainder by 4 is not 2."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
-    return identify(docs, fit_languages(docs, train)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return identify(docs, fit_languages(docs, train)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(_own(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines whose template an earlier document has; those of which nothing is left so go."""
     left = drop_recurring_lines(docs, min_tokens=1).where(F.col("text").rlike(r"\S") | (F.col("n_dropped") == 0))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the texts of ``documents`` still are. Both texts of an id count as that document's.
     """
     came = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return keep_one(docs, texts=docs.select("doc_id", "text").unionByName(came)).select(docs.columns)
+    return keep_one(docs, texts=docs.select("doc_id", "text").unionByName(came)).select(_own(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,8 @@ def _once(frame: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
                 rows.append(memo[key])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=kinds.names)
 
-    return frame.mapInArrow(run, kinds)
+    # By place, as names with dots cannot be looked up.
+    return frame.toDF(*(f"c{k}" for k in range(len(frame.columns)))).mapInArrow(run, kinds)
 
 
 def normalize_names(frame: DataFrame, column: str, options: nm.NormalizeOptions = nm.NormalizeOptions(), to: str = "readings") -> DataFrame:
