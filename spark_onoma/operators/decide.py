@@ -100,16 +100,34 @@ def weighted_evidence(weights: dict[str, float] = WEIGHTS) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(top / bottom)
 
 
+def _apart(e: Column) -> Column:
+    """An expression evaluated by itself. A compiled projection over the JVM's limit of 8000 bytes would run unoptimised."""
+    return F.transform(F.array(F.lit(0)), lambda _: e)[0]
+
+
+HARD_GATES = ("family-name-conflict", "given-name-conflict", "look-alike-distinct-names", "middle-name-conflict", "suffix-conflict")
+
+
 def score_features(features: DataFrame, weights: dict[str, float] = WEIGHTS, sensitivity: float = 1.0) -> DataFrame:
-    """Adds ``similarity``, ``score`` and ``gates`` to the 38 feature columns, by column arithmetic alone."""
+    """Adds ``similarity``, ``score`` and ``gates`` to the 38 feature columns, by column arithmetic alone.
+
+    Multipliers and evidence are parts of a projection of their own, so what several later expressions use is computed
+    once. Columns of the three added names are replaced.
+    """
     c, gates = F.col, gate_multipliers(sensitivity)
-    hard = F.greatest(*[gates[g].isNotNull().cast("int") for g in ("family-name-conflict", "given-name-conflict", "look-alike-distinct-names", "middle-name-conflict", "suffix-conflict")]) > 0
-    value = F.greatest(weighted_evidence(weights), F.when(hard, 0.0).otherwise(interaction_floor()))
-    for m in gates.values():
-        value = value * F.coalesce(m, F.lit(1.0))
+    own = [f"`{x}`" for x in features.columns if x not in ("similarity", "score", "gates")]
     exact = F.when((c("suffixConflict") == 0) & ((c("normalizedExact") > 0) | (c("compactExact") > 0)), F.least(F.when(c("normalizedExact") > 0, 1.0).otherwise(0.99), F.when(c("affixMismatch") > 0, 0.985).otherwise(1.0)))
-    out = features.withColumn("similarity", F.coalesce(exact, F.greatest(F.lit(0.0), F.least(F.lit(1.0), evidence_ceiling(), value))))
-    return out.withColumn("score", to_score(c("similarity"))).withColumn("gates", F.when(exact.isNull(), F.transform(collect_conflicts(sensitivity), lambda g: g["code"])).otherwise(F.array().cast("array<string>")))
+    part = {code: c("__parts")[f"g{k}"] for k, code in enumerate(gates)}
+    parts = F.struct(*[m.alias(f"g{k}") for k, m in enumerate(gates.values())], weighted_evidence(weights).alias("evidence"), interaction_floor().alias("floor"), evidence_ceiling().alias("ceiling"), exact.alias("exact"))
+    out = features.select(*own, _apart(parts).alias("__parts"))
+    hard = F.coalesce(*(part[g] for g in HARD_GATES)).isNotNull()
+    value = F.greatest(c("__parts.evidence"), F.when(hard, 0.0).otherwise(c("__parts.floor")))
+    for m in part.values():
+        value = value * F.coalesce(m, F.lit(1.0))
+    similarity = F.coalesce(c("__parts.exact"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("__parts.ceiling"), value)))
+    names = F.array_compact(F.array(*[F.when(m.isNotNull(), code) for code, m in part.items()]))
+    applied = F.when(c("__parts.exact").isNull(), names).otherwise(F.array().cast("array<string>"))
+    return out.select(*own, _apart(similarity).alias("similarity"), applied.alias("gates")).select(*own, "similarity", to_score(c("similarity")).alias("score"), "gates")
 
 
 def features_to_array() -> Column:
