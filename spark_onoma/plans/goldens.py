@@ -86,7 +86,7 @@ golden("reasons", "a string, b string", "suffix boolean, nickname boolean, abbre
 golden("ranked_candidates", "query string, candidate string", "rank int", [("John Smith", "Peter Jones", 3), ("John Smith", "Jon Smith", 2), ("John Smith", "John Smith", 1)],
        frame=lambda f: match.NameMatcher(sc.MatchOptions(mode="strict")).rank(f.select("query").distinct(), f.select("candidate").distinct()))
 
-facts("options_of_a_match", {
+facts("match_options", {
     "a threshold at the score matches": lambda: _plain(threshold=float(_score("John Michael Smith", "John Smith"))).options.resolved_threshold <= _score("John Michael Smith", "John Smith"),
     "a threshold above the score does not": lambda: _plain(threshold=_score("John Michael Smith", "John Smith") + 1.0).options.resolved_threshold > _score("John Michael Smith", "John Smith"),
     "fuzzy mode matches a dropped middle name": lambda: _score("John Michael Smith", "John Smith", mode="fuzzy") >= 62,
