@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +137,12 @@ class Index:
                     yield first + row, self.ids[i], *found
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark in blocks of a bounded number of words; each is collected alone. Rows with null id or text are left out."""
+def indexes(benchmark: DataFrame) -> Iterator[Broadcast[Index]]:
+    """The benchmark in blocks of a bounded number of words, broadcast one after another; the driver holds one at a time.
+
+    Rows with null id or text are left out.
+    """
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     count = max(1, -(-total // BLOCK_WORDS))
@@ -147,7 +152,8 @@ def indexes(benchmark: DataFrame) -> list[Index]:
         words = bare_words(*buffers(pa.array([t for _, t in rows], pa.string())))
         return Index([(i, words.hash[a:b]) for (i, _), a, b in zip(rows, words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)])
 
-    return [load(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)) for k in range(count)]
+    for k in range(count):
+        yield sc.broadcast(load(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -159,10 +165,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null or empty texts have no overlap; rows that share an id are searched each and reported under that id, null ids too.
     An empty table on either side gives no row; other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
     out = None
-    for index in indexes(benchmark):
-        shared = sc.broadcast(index)
+    for shared in indexes(benchmark):
 
         def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,10 +192,8 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without an overlap, all columns kept, in one pass without a shuffle."""
-    sc = docs.sparkSession.sparkContext
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
-        shared = sc.broadcast(index)
+    for shared in indexes(benchmark):
 
         def stay(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

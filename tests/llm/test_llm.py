@@ -467,3 +467,16 @@ def test_html_labels_and_open_elements():
     page = '<article><p class="social-science">a</p><p id="notice-board">b</p><div class="share-buttons">no</div><div class="comment_list x">no</div><form>c<p>d</p></article>'
     assert html_text.blocks(page)[0] == ["a", "b", "c", "d"]
     assert html_text.blocks("<article>a<form>no</form>b</article>")[0] == ["a", "b"]
+
+
+def test_benchmark_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items = [[word() for _ in range(20)] for _ in range(30)]
+    texts = [" ".join([word() for _ in range(40)] + (items[i][:14] if i % 3 == 0 else []) + [word() for _ in range(9)]) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    assert len(list(decontaminate.indexes(bench))) == 6
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()} == {(i, i) for i in range(0, 30, 3)}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {i for i in range(30) if i % 3}
