@@ -24,6 +24,8 @@ LISTED = 16
 #: The filter of ids whose sets are made has 16 bits an id; more ids than this (8 MB) are joined with the texts instead.
 FILTER_IDS = 1 << 22
 _COLUMNS, _DENSE = 256, 2048
+#: Values of a block whose intersections are counted at a time, and members whose counts are held against the threshold at a time.
+_SLICE, _STRIP = 1 << 18, 256
 
 
 def band_rows(percent: int) -> int:
@@ -145,32 +147,45 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scra
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of one list with all of another, as products of 0/1 matrices."""
-    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
-    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    cut = int(sizes[0].sum())
+    """Sizes of the intersections of all sets of one list with all of another, as products of 0/1 matrices.
+
+    The values are dealt by their low bits and a slice is worked on at a time, so what is needed beside the sets is small.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(left) or not len(right):
+        return out
+    ends, flat = [np.cumsum([len(x) for x in side]) for side in (left, right)], [np.concatenate(side) for side in (left, right)]
+    slices = min(1 << 16, 1 << ((len(flat[0]) + len(flat[1])) // _SLICE).bit_length())
+    slots = [(values & values.dtype.type(slices - 1)).astype(np.uint16) for values in flat]
+    for k in range(slices):
+        places = [np.flatnonzero(slot == k) for slot in slots]
+        _add_shared(out, [values[p] for values, p in zip(flat, places, strict=True)], [np.searchsorted(end, p, "right") for end, p in zip(ends, places, strict=True)])
+    return out
+
+
+def _add_shared(out: np.ndarray, values: list[np.ndarray], rows: list[np.ndarray]) -> None:
+    """Add to ``out`` how many of these values, of either side's rows, two rows share."""
+    _, column = np.unique(np.concatenate(values), return_inverse=True)
+    cut = len(values[0])
     both = np.zeros(int(column.max(initial=-1)) + 1, np.int8)
     both[column[:cut]] = 1
     both[column[cut:]] |= 2
     number = np.cumsum(both == 3) - 1
     total = int(number[-1]) + 1 if len(number) else 0
     entries = []
-    for side, part in enumerate((column[:cut], column[cut:])):
-        row = np.repeat(np.arange(len(sizes[side])), sizes[side])
+    for row, part in zip(rows, (column[:cut], column[cut:]), strict=True):
         keep = both[part] == 3
         row, part = row[keep], number[part[keep]]
         order = np.argsort(part, kind="stable")
         entries.append((row[order], part[order]))
-    out = np.zeros((len(left), len(right)), np.float32)
     for k in range(0, total, _DENSE):
         width = min(_DENSE, total - k)
         dense = []
         for side, (row, part) in enumerate(entries):
             a, b = np.searchsorted(part, [k, k + width])
-            dense.append(np.zeros((len(sizes[side]), width), np.float32))
+            dense.append(np.zeros((out.shape[side], width), np.float32))
             dense[-1][row[a:b], part[a:b] - k] = 1
         out += dense[0] @ dense[1].T
-    return out
 
 
 def _linker(percent: int):
@@ -185,9 +200,15 @@ def _linker(percent: int):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         sides = [[flat[at[r] : at[r + 1]] for r in side] for side in rows]
         sizes = [np.array([len(x) for x in side]) for side in sides]
-        x, y = np.nonzero((100 + percent) * shared_counts(*sides).astype(np.int64) >= percent * (sizes[0][:, None] + sizes[1][None, :]))
         names, number = np.unique(part, return_inverse=True)
-        root = names[local_roots(len(names), [(number[rows[0][x]], number[rows[1][y]])])]
+        counts, links = shared_counts(*sides), []
+        for k in range(0, len(counts), _STRIP):
+            x, y = np.nonzero((100 + percent) * counts[k : k + _STRIP].astype(np.int64) >= percent * (sizes[0][k : k + _STRIP, None] + sizes[1][None, :]))
+            # Of a strip's links only a spanning forest is kept.
+            low = local_roots(len(names), [(number[rows[0][k + x]], number[rows[1][y]])])
+            moved = np.flatnonzero(low != np.arange(len(names)))
+            links.append((moved, low[moved]))
+        root = names[local_roots(len(names), links)]
         found = np.flatnonzero(root != names)
         return pa.table({"a": names[found], "b": root[found]})
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -99,6 +100,43 @@ def test_shared_counts_against_sets(monkeypatch):
     assert near_dup.shared_counts(sides[0], []).shape == (7, 0) and near_dup.shared_counts([sides[0][0][:0]], [sides[0][0][:0]]).tolist() == [[0]]
 
 
+def _block(n, size):
+    """A block of a bucket: five families of sets of which parts differ."""
+    rng = np.random.default_rng(5)
+    draw = lambda *shape: rng.integers(-(2**63), 2**63 - 1, shape)
+    base = draw(5, size)
+    sets = [np.unique(np.where(rng.random(size) < 0.4 * rng.random(), draw(size), base[rng.integers(5)])) for _ in range(n)]
+    return pa.table({"part": rng.integers(0, n, n), "loose": rng.random(n) < 0.5, "items": textops.list_array(np.concatenate(sets), np.array([len(x) for x in sets]), pa.int64())})
+
+
+@pytest.mark.parametrize("cut,strip", [(1 << 18, 256), (64, 7)])
+def test_links_of_a_block_against_sets(monkeypatch, cut, strip):
+    monkeypatch.setattr(near_dup, "_SLICE", cut)
+    monkeypatch.setattr(near_dup, "_STRIP", strip)
+    table = _block(120, 60)
+    part, loose, sets = table["part"].to_pylist(), table["loose"].to_pylist(), [set(x) for x in table["items"].to_pylist()]
+    root = {p: p for p in part}
+    while True:
+        old = dict(root)
+        for i, j in itertools.product(range(120), repeat=2):
+            if loose[i] and not loose[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[part[i]] = root[part[j]] = min(root[part[i]], root[part[j]])
+        if root == old:
+            break
+    got = near_dup._linker(80)[0](table)
+    assert dict(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == {p: r for p, r in root.items() if p != r} and len(got) > 5
+
+
+def test_memory_of_a_block():
+    """Beside its sets a block needs less than five times their memory (more than six times before values were dealt to slices)."""
+    table = _block(1000, 1000)
+    tracemalloc.start()
+    near_dup._linker(80)[0](table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * table["items"].nbytes
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (7, 7), (None, 3)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect())
